@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .simhash import simhash_groups
 from .sql import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +20,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup,)}
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op8_simhash_near_dedup)}
 
 
 def queries() -> dict[str, Query]:
