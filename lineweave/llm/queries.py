@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
 from .simhash import simhash_groups
@@ -24,7 +25,14 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op8_simhash_near_dedup)}
+def op6_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_encode(table(spark, sf_dir, "documents"), str(path), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op6_bpe_encode, op8_simhash_near_dedup)}
 
 
 def queries() -> dict[str, Query]:
