@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .simhash import simhash_groups
 from .sql import ORACLE_SQL
 
@@ -32,7 +33,11 @@ def op6_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), str(path), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op6_bpe_encode, op8_simhash_near_dedup)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op6_bpe_encode, op8_simhash_near_dedup, op9_language_id)}
 
 
 def queries() -> dict[str, Query]:
