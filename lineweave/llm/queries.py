@@ -10,6 +10,7 @@ from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import language_id
+from .license_scan import license_scan
 from .simhash import simhash_groups
 from .sql import ORACLE_SQL
 
@@ -37,7 +38,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op6_bpe_encode, op8_simhash_near_dedup, op9_language_id)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op6_bpe_encode, op8_simhash_near_dedup, op9_language_id, op10_license_scan)}
 
 
 def queries() -> dict[str, Query]:
