@@ -13,10 +13,16 @@ from .language_id import language_id
 from .license_scan import license_scan
 from .simhash import simhash_groups
 from .sql import ORACLE_SQL
+from .topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors.where("vec_id % 100 = 0"), vectors, 10)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
@@ -42,7 +48,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op6_bpe_encode, op8_simhash_near_dedup, op9_language_id, op10_license_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_exact_top_k, op5_exact_dedup, op6_bpe_encode, op8_simhash_near_dedup, op9_language_id, op10_license_scan)}
 
 
 def queries() -> dict[str, Query]:

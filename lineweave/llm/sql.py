@@ -9,4 +9,20 @@ SELECT doc_id,
 FROM documents
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5}
+OP3 = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON b.vec_id <> a.vec_id AND len(a.q) = len(b.q)
+    WHERE a.vec_id % 100 = 0
+), r AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": OP3, "op5_exact_dedup": OP5}
