@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_text import html_text
 from .language_id import language_id
 from .license_scan import license_scan
 from .simhash import simhash_groups
@@ -23,6 +24,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors.where("vec_id % 100 = 0"), vectors, 10)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
@@ -48,7 +53,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_exact_top_k, op5_exact_dedup, op6_bpe_encode, op8_simhash_near_dedup, op9_language_id, op10_license_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_exact_top_k, op4_html_text, op5_exact_dedup, op6_bpe_encode, op8_simhash_near_dedup, op9_language_id, op10_license_scan)}
 
 
 def queries() -> dict[str, Query]:
