@@ -85,7 +85,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
-WORD = re.compile(r"[A-Za-z]+")
+WORD = re.compile(r"[A-Za-z]+|(?<![0-9])[0-9](?![0-9])")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 KEEP, DROP, MAIN = 0, 1, 2
