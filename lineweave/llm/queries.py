@@ -12,13 +12,19 @@ from .exact_dedup import exact_dedup
 from .html_text import html_text
 from .language_id import language_id
 from .license_scan import license_scan
+from .packing import pack
 from .simhash import simhash_groups
 from .sql import ORACLE_SQL
+from .substring_dedup import substring_report
 from .topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors.where("vec_id % 100 = 0"), vectors, 10)
@@ -34,6 +40,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -53,7 +63,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_exact_top_k, op4_html_text, op5_exact_dedup, op6_bpe_encode, op8_simhash_near_dedup, op9_language_id, op10_license_scan)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op3_exact_top_k,
+        op4_html_text,
+        op5_exact_dedup,
+        op6_bpe_encode,
+        op7_packing,
+        op8_simhash_near_dedup,
+        op9_language_id,
+        op10_license_scan,
+    )
+}
 
 
 def queries() -> dict[str, Query]:
