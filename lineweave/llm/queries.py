@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .html_text import html_text
 from .language_id import language_id
 from .license_scan import license_scan
+from .lm_score import lm_score
 from .packing import pack
 from .simhash import simhash_groups
 from .sql import ORACLE_SQL
@@ -25,6 +26,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors.where("vec_id % 100 = 0"), vectors, 10)
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op2_lm_score,
         op3_exact_top_k,
         op4_html_text,
         op5_exact_dedup,
