@@ -154,7 +154,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): keep_id, group_size, kept, text_sha256, fp, n_bytes."""
+    """One row per row of ``docs`` (doc_id, text): keep_id, group_size, kept, text_sha256, fp, n_bytes
+    and text_key (xxhash64 of the text).
+    """
     rows = expect_columns(docs, "doc_id", "text").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         text_or_empty().alias("text"),
@@ -197,4 +199,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.lower(F.hex("sha")).alias("text_sha256"),
         "fp",
         "n_bytes",
+        "text_key",
     )

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, WINDOW, durable, expect_columns, string_bytes
+from .common import LOWER_BYTES, WINDOW, durable, expect_columns, string_bytes, text_or_empty
 from .components import connected_components
 
 SEED = 42
@@ -90,8 +90,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = memoryview(np.ascontiguousarray(buf))
         found = [simhash(bytes(data[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))],
-            names=["doc_id", "fp"],
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))],
+            names=["doc_id", "text_key", "fp"],
         )
 
 
@@ -156,9 +156,12 @@ def _signed(x: int) -> int:
 
 
 def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): fingerprint (16 hex digits) and component_id."""
-    rows = expect_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = durable(rows.mapInArrow(_sign, "doc_id long, fp long"))
+    """One row per row of ``docs`` (doc_id, text): fingerprint (16 hex digits), component_id and
+    text_key (xxhash64 of the text)."""
+    rows = expect_columns(docs, "doc_id", "text").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_key"), "text"
+    )
+    signed = durable(rows.mapInArrow(_sign, "doc_id long, text_key long, fp long"))
     classes = durable(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
     linked = connected_components(ring_links(classes.select("fp"), max_bits, bucket)).withColumnRenamed("node", "fp")
     named = linked.join(classes, "fp").groupBy("root").agg(F.min("first").alias("component"))
@@ -167,5 +170,5 @@ def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCK
         .select("fp", F.coalesce("component", "first").alias("component_id"))
     )
     return signed.join(labels, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key"
     )
