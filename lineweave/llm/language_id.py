@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import expect_columns, id_remainder, mix64
 
@@ -226,13 +227,14 @@ class Classifier:
         return langs, scores
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
-    """``docs`` with lang_pred and score; only the column ``text`` is looked at."""
+def predict(
+    docs: DataFrame, profiles: dict[str, list[int]], into: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with the two columns ``into`` (language and score); only the column ``text`` is looked at."""
+    docs = docs.drop(*into)
     names = docs.columns
-    if {"lang_pred", "score"} & set(names):
-        docs = docs.drop("lang_pred", "score")
-        names = docs.columns
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    added = [StructField(into[0], StringType()), StructField(into[1], DoubleType())]
+    schema = StructType([*docs.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(profiles)
@@ -252,7 +254,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
                 i = j
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores))],
-                names=[*names, "lang_pred", "score"],
+                names=[*names, *into],
             )
 
     return docs.mapInArrow(run, schema)
