@@ -1,0 +1 @@
+"""Registered queries over the sample tables, and their DuckDB SQL."""
