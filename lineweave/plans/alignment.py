@@ -1 +1,145 @@
-"""Queries of the order-dependent state machines."""
+"""Queries of the order-dependent state machines, over recordings made from conversations and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import Options, supplement_options
+from ..functions.pixels import edge_overlap
+from ..sinks.ass import dialogue_lines, document, in_output_order
+from ..sinks.report import report
+from ..streaming.run import align, captions
+from ..streaming.templates import place_lines
+from .registry import query
+from .surrogates import frames as event_frames
+from .surrogates import script, table
+
+FPS = "10"
+PER_LINE = 30
+H, W = 8, 64
+
+
+def _mask(*seed) -> F.Column:
+    """A pseudo-random 8 x 64 mask of one bit in four."""
+    row = lambda k: F.xxhash64(*seed, F.lit(k)).bitwiseAND(F.xxhash64(*seed, F.lit(k + 100)))
+    return F.unhex(F.concat(*[F.lpad(F.hex(row(k)), 16, "0") for k in range(H)]))
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames, readings and meta rows: line i is on screen in frames 30 i + 2 up to 30 i + 22, and is read with noise."""
+    lines = script(spark, sf_dir).withColumn("video_id", F.col("conv_id").cast("string"))
+    slots = lines.select(
+        "video_id", "conv_id", "idx", "text", F.explode(F.sequence(F.lit(0), F.lit(PER_LINE - 1))).alias("k")
+    ).withColumn("frame_index", F.col("idx") * PER_LINE + F.col("k"))
+    shown = (F.col("k") >= 2) & (F.col("k") < 22)
+    frames = slots.select(
+        "video_id",
+        "frame_index",
+        F.lit(H).alias("h"),
+        F.lit(W).alias("w"),
+        F.when(shown, _mask(F.col("conv_id"), F.col("idx"))).otherwise(F.lit(bytes(H * W // 8))).alias("edge"),
+    )
+    at = (F.lit(1) + (7 * F.col("conv_id") + 3 * F.col("idx") + F.col("k")) % F.length("text")).cast("int")
+    noisy = F.concat(
+        F.substring(F.col("text"), F.lit(1), at - 1), F.lit("x"), F.substring(F.col("text"), at + 1, F.length("text"))
+    )
+    full = F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(W).alias("x1"), F.lit(H).alias("y1"))
+    readings = slots.where(shown).select(
+        "video_id",
+        "frame_index",
+        F.lit(0).alias("attempt"),
+        F.when(F.col("k") % 3 == 0, noisy).otherwise(F.col("text")).alias("text"),
+        (F.lit(0.86) + (F.col("k") % 5) / 50).alias("confidence"),
+        full.alias("box"),
+        F.lit("sample").alias("model"),
+    )
+    last = F.max("idx").over(Window.partitionBy("video_id"))
+    every = lines.withColumn("frames", (last + 1) * PER_LINE)
+    said = F.array_sort(F.collect_list(F.struct("idx", "text", F.lit(2.0).alias("duration"))))
+    meta = every.groupBy("video_id").agg(said.alias("lines"), F.max("frames").alias("n")).select(
+        "video_id",
+        F.to_json(
+            F.struct(
+                F.lit(FPS).alias("fps"),
+                "lines",
+                F.array(F.struct(F.lit(0).alias("start_frame"), F.col("n").alias("end_frame"))).alias("regions"),
+            )
+        ).alias("meta"),
+    )
+    return frames, readings, meta
+
+
+@query()
+def align_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align(*recordings(spark, sf_dir))
+    return found.select("video_id", "idx", "status", "start_frame", "end_frame", "end_reason", "ocr_text")
+
+
+@query()
+def align_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = captions(*recordings(spark, sf_dir), supplement_options(Options()))
+    return found.select("video_id", "text", "start_frame", "end_frame", "end_reason", "observations")
+
+
+@query()
+def subtitle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned lines as one subtitle document per recording."""
+    found = align(*recordings(spark, sf_dir)).where("status = 'matched'").select(
+        "video_id",
+        "start_frame",
+        "end_frame",
+        F.col("idx").alias("seq"),
+        "text",
+        F.lit("").alias("name"),
+        F.lit("IdolyPride Normal").alias("style"),
+    )
+    lines = dialogue_lines(in_output_order(found, found.limit(0)), FPS, comments=True)
+    return document(lines).select("video_id", F.sha2("content", 256).alias("sha256"), F.length("content").alias("n_chars"))
+
+
+@query()
+def evidence_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of every recording as JSON."""
+    parts = recordings(spark, sf_dir)
+    results = align(*parts)
+    videos = parts[0].groupBy("video_id").agg(F.lit(FPS).alias("fps"), F.count("*").alias("total_frames"))
+    none = results.select("video_id", "text").limit(0)
+    return report(results, none, videos, {"lookahead": "5"}).select("video_id", F.length("report").alias("n_chars"))
+
+
+@query()
+def forward_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template mode: five kinds of events are placed one after another on a user's frames."""
+    kinds = ["view", "click", "purchase", "error", "view"]
+    every = event_frames(spark, sf_dir).groupBy("user_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("f", "event_type"))), lambda x: x["event_type"]).alias("types")
+    )
+
+    def place(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for user, types in zip(batch.user_id, batch.types, strict=True):
+                hits = lambda line, f, types=types: types[f] == kinds[line]
+                for p in place_lines(hits, len(kinds), len(types), strict=False):
+                    rows.append((user, p.index, p.start_frame, p.end_frame))
+            yield pd.DataFrame(rows, columns=["user_id", "line", "start_frame", "end_frame"])
+
+    return every.mapInPandas(place, "user_id long, line int, start_frame long, end_frame long")
+
+
+@query()
+def mask_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of the sign masks (8 x 8) of vectors that follow each other."""
+    bits = F.aggregate(
+        F.slice("embedding", 1, 64), F.lit(""), lambda a, x: F.concat(a, F.when(x > 0, "1").otherwise("0"))
+    )
+    masks = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", F.unhex(F.lpad(F.conv(bits, 2, 16), 16, "0")).alias("mask")
+    )
+    after = masks.withColumn("next", F.lead("mask").over(Window.partitionBy("label").orderBy("vec_id")))
+    return after.where("next IS NOT NULL").select(
+        "vec_id", F.round(edge_overlap("mask", "next", F.lit(8), F.lit(8)), 6).alias("overlap")
+    )
