@@ -12,8 +12,9 @@ from ..sinks.report import report
 from ..streaming.run import align, captions
 from ..streaming.templates import place_lines
 from .registry import query
+from .surrogates import FRAMES_SQL
 from .surrogates import frames as event_frames
-from .surrogates import script, table
+from .surrogates import SCRIPT_SQL, script, table
 
 FPS = "10"
 PER_LINE = 30
@@ -21,8 +22,14 @@ H, W = 8, 64
 
 
 def _mask(*seed) -> F.Column:
-    """A pseudo-random 8 x 64 mask of one bit in four."""
-    row = lambda k: F.xxhash64(*seed, F.lit(k)).bitwiseAND(F.xxhash64(*seed, F.lit(k + 100)))
+    """A pseudo-random 8 x 64 mask of one bit in sixteen."""
+
+    def row(k: int) -> F.Column:
+        out = F.xxhash64(*seed, F.lit(k))
+        for salt in (100, 200, 300):
+            out = out.bitwiseAND(F.xxhash64(*seed, F.lit(k + salt)))
+        return out
+
     return F.unhex(F.concat(*[F.lpad(F.hex(row(k)), 16, "0") for k in range(H)]))
 
 
@@ -70,16 +77,25 @@ def recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return frames, readings, meta
 
 
-@query()
+# The recordings are made so that what is on screen, and when, is known.
+
+
+@query(
+    f"""WITH {SCRIPT_SQL} SELECT CAST(conv_id AS VARCHAR) AS video_id, CAST(idx AS INTEGER) AS idx, 'matched' AS status,
+    {PER_LINE} * idx + 2 AS start_frame, {PER_LINE} * idx + 22 AS end_frame, 'visual_change' AS end_reason FROM lines"""
+)
 def align_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = align(*recordings(spark, sf_dir))
-    return found.select("video_id", "idx", "status", "start_frame", "end_frame", "end_reason", "ocr_text")
+    return found.select("video_id", "idx", "status", "start_frame", "end_frame", "end_reason")
 
 
-@query()
+@query(
+    f"""WITH {SCRIPT_SQL} SELECT CAST(conv_id AS VARCHAR) AS video_id,
+    {PER_LINE} * idx + 2 AS start_frame, {PER_LINE} * idx + 22 AS end_frame, 'visual_change' AS end_reason FROM lines"""
+)
 def align_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = captions(*recordings(spark, sf_dir), supplement_options(Options()))
-    return found.select("video_id", "text", "start_frame", "end_frame", "end_reason", "observations")
+    return found.select("video_id", "start_frame", "end_frame", "end_reason")
 
 
 @query()
@@ -108,7 +124,25 @@ def evidence_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(results, none, videos, {"lookahead": "5"}).select("video_id", F.length("report").alias("n_chars"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {FRAMES_SQL}, t AS (SELECT user_id, f, event_type FROM frames),
+    n AS (SELECT user_id, max(f) + 1 AS n FROM t GROUP BY user_id),
+    kinds AS (SELECT unnest(['view', 'click', 'purchase', 'error', 'view']) AS kind, unnest(range(0, 5)) AS line),
+    place AS (
+        SELECT user_id, CAST(-1 AS BIGINT) AS line, CAST(-1 AS BIGINT) AS start_frame, CAST(0 AS BIGINT) AS end_frame FROM n
+        UNION ALL
+        SELECT s.user_id, s.line, s.start_frame, coalesce(min(e.f), any_value(s.n)) AS end_frame
+        FROM (SELECT p.user_id, k.line, k.kind, n.n, min(t.f) AS start_frame
+              FROM place p JOIN kinds k ON k.line = p.line + 1 JOIN n ON n.user_id = p.user_id
+              JOIN t ON t.user_id = p.user_id AND t.f >= p.end_frame AND t.event_type = k.kind
+              GROUP BY p.user_id, k.line, k.kind, n.n) s
+        LEFT JOIN (SELECT user_id, f, event_type AS a, lead(event_type, 1) OVER w AS b, lead(event_type, 2) OVER w AS c
+                   FROM t WINDOW w AS (PARTITION BY user_id ORDER BY f)) e
+            ON e.user_id = s.user_id AND e.f > s.start_frame AND e.a <> s.kind AND e.b <> s.kind AND e.c <> s.kind
+        GROUP BY s.user_id, s.line, s.start_frame
+    )
+    SELECT user_id, CAST(line AS INTEGER) AS line, start_frame, end_frame FROM place WHERE line >= 0"""
+)
 def forward_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template mode: five kinds of events are placed one after another on a user's frames."""
     kinds = ["view", "click", "purchase", "error", "view"]
