@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Options, supplement_options
@@ -21,10 +21,10 @@ PER_LINE = 30
 H, W = 8, 64
 
 
-def _mask(*seed) -> F.Column:
+def _mask(*seed) -> Column:
     """A pseudo-random 8 x 64 mask of one bit in sixteen."""
 
-    def row(k: int) -> F.Column:
+    def row(k: int) -> Column:
         out = F.xxhash64(*seed, F.lit(k))
         for salt in (100, 200, 300):
             out = out.bitwiseAND(F.xxhash64(*seed, F.lit(k + salt)))

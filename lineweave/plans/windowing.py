@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.intervals import merge, subtract
@@ -22,12 +22,13 @@ from ..operators.windows import (
 from .registry import query
 from .surrogates import FRAMES_SQL, WINDOWS_SQL, frames, intervals, known, table, windows
 
-_ASSETS = F.array_join("assets", ",").alias("assets")
+def _assets() -> Column:
+    return F.array_join("assets", ",").alias("assets")
 
 
 @query(f"WITH {FRAMES_SQL}, {WINDOWS_SQL} SELECT video_id, start_frame, end_frame, assets, bounds FROM merged")
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge(windows(spark, sf_dir)).select("video_id", "start_frame", "end_frame", _ASSETS, "bounds")
+    return merge(windows(spark, sf_dir)).select("video_id", "start_frame", "end_frame", _assets(), "bounds")
 
 
 _DIFFERENCE = """cut AS (
@@ -56,7 +57,7 @@ def interval_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def scan_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = known(spark, sf_dir).withColumn("status", F.lit("matched"))
-    return regions_of(windows(spark, sf_dir), results).select("video_id", "start_frame", "end_frame", _ASSETS, "bounds")
+    return regions_of(windows(spark, sf_dir), results).select("video_id", "start_frame", "end_frame", _assets(), "bounds")
 
 
 @query(
