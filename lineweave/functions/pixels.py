@@ -66,15 +66,17 @@ def binarise(image: np.ndarray, threshold: int) -> np.ndarray:
     return gray(image) > threshold
 
 
-def adaptive_binarise(image: np.ndarray, block: int = 11, offset: float = 2.0) -> np.ndarray:
-    """Above the mean of a block around the pixel, less ``offset``."""
-    values = gray(image).astype(np.float64)
+def adaptive_binarise(image: np.ndarray, block: int = 11, offset: float = 0.0) -> np.ndarray:
+    """Above the Gaussian mean of a block around the pixel, less ``offset``; the border repeats its pixels."""
+    values = gray(image)
     half = block // 2
-    padded = np.pad(values, half, mode="edge")
-    sums = np.pad(padded.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    h, w = values.shape
-    total = sums[block : block + h, block : block + w] - sums[:h, block : block + w] - sums[block : block + h, :w] + sums[:h, :w]
-    return values > total / (block * block) - offset
+    sigma = 0.3 * (half - 1) + 0.8
+    weights = np.exp(-((np.arange(block) - half) ** 2) / (2 * sigma * sigma))
+    weights /= weights.sum()
+    padded = np.pad(values.astype(np.float64), half, mode="edge")
+    across = np.lib.stride_tricks.sliding_window_view(padded, block, axis=1) @ weights
+    mean = np.rint(np.lib.stride_tricks.sliding_window_view(across, block, axis=0) @ weights)
+    return values > mean - offset
 
 
 def canny(image: np.ndarray, low: int = 60, high: int = 160) -> np.ndarray:

@@ -129,3 +129,33 @@ def concat_parts(parts: DataFrame) -> DataFrame:
     along = Window.partitionBy("recording").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.withColumn("shift", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
     return parts.join(shift, ["recording", "part"]).withColumn("idx", F.col("idx") + F.col("shift")).drop("shift")
+
+
+def load_events(parts: list[DataFrame], gap_before_second: float = 0.0, player: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, references, gaps) of scripts of one or two parts, each given as lines with the same script_id.
+
+    Parts keep their own order, the second goes on numbering where the first ends.  The gap (seconds) stands
+    before the second part's first event.
+    """
+    numbered = [
+        script_events(lines, player).withColumns({"recording": F.col("script_id"), "part": F.lit(n)})
+        for n, lines in enumerate(parts)
+    ]
+    events = concat_parts(numbered[0] if len(numbered) == 1 else numbered[0].unionByName(numbered[1]))
+    sizes = events.where("part = 0").groupBy("script_id").agg(F.count("*").cast("int").alias("shift"))
+    refs = video_references(parts[0], numbered[0])
+    if len(parts) > 1:
+        shifted = video_references(parts[1], numbered[1]).join(sizes, "script_id", "left")
+        by = F.coalesce("shift", F.lit(0))
+        refs = refs.unionByName(
+            shifted.withColumns(
+                {
+                    "before": F.transform("before", lambda i: i + by),
+                    "after": F.transform("after", lambda i: i + by),
+                    "segment_start": F.col("segment_start") + by,
+                    "segment_end": F.col("segment_end") + by,
+                }
+            ).drop("shift")
+        )
+    gaps = sizes.select("script_id", F.col("shift").alias("before_idx"), F.lit(float(gap_before_second)).alias("seconds"))
+    return events.drop("recording"), refs, gaps.where("seconds > 0") if len(parts) > 1 else gaps.limit(0)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import canny, pack_mask, roi_bounds
+from ..functions.pixels import adaptive_binarise, canny, open3, pack_mask, roi_bounds
 
 
 @dataclass(frozen=True)
@@ -44,8 +44,8 @@ def ranged_frames(frames: DataFrame, regions: DataFrame) -> DataFrame:
     return frames.alias("f").join(regions.alias("r"), on, "left_semi")
 
 
-def edge_frames(images: DataFrame, roi: tuple[float, float, float, float]) -> DataFrame:
-    """Bit-packed edge masks of images (video_id, frame_index, h, w, image: BGR bytes), cropped to ``roi``."""
+def _masked(images: DataFrame, roi: tuple[float, float, float, float], kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Bit-packed masks that ``kernel`` makes of images (video_id, frame_index, h, w, image: BGR bytes), cropped to ``roi``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -53,7 +53,7 @@ def edge_frames(images: DataFrame, roi: tuple[float, float, float, float]) -> Da
             for row in batch.itertuples():
                 pixels = np.frombuffer(row.image, dtype=np.uint8).reshape(row.h, row.w, 3)
                 left, top, right, bottom = roi_bounds(roi, row.w, row.h)
-                mask = canny(pixels[top:bottom, left:right])
+                mask = kernel(pixels[top:bottom, left:right])
                 rows.append((row.video_id, row.frame_index, *mask.shape, pack_mask(mask)))
             yield pd.DataFrame(rows, columns=["video_id", "frame_index", "h", "w", "edge"])
 
@@ -62,6 +62,20 @@ def edge_frames(images: DataFrame, roi: tuple[float, float, float, float]) -> Da
     )
 
 
+def edge_frames(images: DataFrame, roi: tuple[float, float, float, float]) -> DataFrame:
+    """Edge masks, for alignment."""
+    return _masked(images, roi, canny)
+
+
+#: Template mode looks at a fixed part of the frame.
+TEMPLATE_ROI = (1 / 16, 29 / 36, 15 / 16, 8 / 9)
+
+
+def binary_frames(images: DataFrame) -> DataFrame:
+    """Opened adaptive binary masks of the fixed part, for template mode."""
+    return _masked(images, TEMPLATE_ROI, lambda crop: open3(adaptive_binarise(crop)))
+
+
 _recognisers: dict[object, Recogniser] = {}
 
 
