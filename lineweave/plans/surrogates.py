@@ -83,10 +83,10 @@ WINDOWS_SQL = """w AS (
 
 
 def script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, idx, text): turns of a conversation as script lines in matching form, 60 characters at most."""
+    """(conv_id, idx, text): turns of a conversation as script lines in matching form."""
     return (
         table(spark, sf_dir, "conversations")
-        .select("conv_id", F.col("turn").alias("idx"), F.substring(ascii_match_form(F.col("text")), 1, 60).alias("text"))
+        .select("conv_id", F.col("turn").alias("idx"), ascii_match_form(F.col("text")).alias("text"))
         .where("text <> ''")
     )
 
@@ -110,8 +110,8 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCRIPT_SQL = f"""script AS (
-    SELECT conv_id, turn AS idx, substr(lower(regexp_replace(translate(
-        replace(replace(text, '\\N', ''), '\\n', ''), '{LATIN}', '{ASCII}'), '[^A-Za-z0-9]', '', 'g')), 1, 60) AS text
+    SELECT conv_id, turn AS idx, lower(regexp_replace(translate(
+        replace(replace(text, '\\N', ''), '\\n', ''), '{LATIN}', '{ASCII}'), '[^A-Za-z0-9]', '', 'g')) AS text
     FROM conversations
 ), lines AS (SELECT * FROM script WHERE text <> ''),
 readings AS (

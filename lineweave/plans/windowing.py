@@ -202,7 +202,7 @@ def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {FRAMES_SQL}, a AS (SELECT user_id, f AS anchor FROM frames WHERE event_type = 'purchase' OR event_id % 17 = 0),
+    f"""WITH {FRAMES_SQL}, a AS (SELECT user_id, f AS anchor FROM frames WHERE event_type = 'purchase'),
     w AS (SELECT a.user_id, a.anchor, f.f, f.hit,
             sum(CASE WHEN f.hit THEN 0 ELSE 1 END) OVER (PARTITION BY a.user_id, a.anchor ORDER BY f.f DESC ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS run,
             row_number() OVER (PARTITION BY a.user_id, a.anchor ORDER BY f.f DESC) AS n
@@ -212,7 +212,7 @@ def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def onset_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = frames(spark, sf_dir)
-    anchors = every.where("event_type = 'purchase' OR event_id % 17 = 0").select("user_id", F.col("f").alias("anchor"))
+    anchors = every.where("event_type = 'purchase'").select("user_id", F.col("f").alias("anchor"))
     return backward_onset(every, anchors, 3, "user_id", "f")
 
 
