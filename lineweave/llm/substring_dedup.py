@@ -23,34 +23,63 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expect_columns, text_or_empty
+from .common import expect_columns, stored, text_or_empty
 
 MIN_WORDS = 20
 SHORT = 3
 NULL_ID = -(1 << 63)
 
-_CAPITAL = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
-CUT = re.compile(rf"\s*[\n\r]+\s*|(?<=[.!?])\s+|(?<=[。！？])|\s+(?=[{_CAPITAL}](?![{_CAPITAL}]))")
+_SPACE, _CAPITAL, _END, _BREAK, _WIDE = 1, 2, 4, 8, 16
+#: What each code point is to the cutting of units.
+_KINDS = np.zeros(0x110000, dtype=np.uint8)
+for _chars, _kind in (
+    ([chr(c) for c in range(0x3001) if chr(c).isspace()], _SPACE),
+    ([chr(c) for a, b in ("AZ", "ÀÖ", "ØÞ", "ΑΩ", "АЯ") for c in range(ord(a), ord(b) + 1)], _CAPITAL),
+    (".!?", _END),
+    ("\n\r", _BREAK),
+    ("。！？", _WIDE),
+):
+    _KINDS[[ord(c) for c in _chars]] |= _kind
 WORDS = re.compile(r"\w+")
 
 
-def units(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the units of a text, in order."""
-    start = 0
-    for m in CUT.finditer(text):
-        if m.start() > start:
-            yield start, m.start()
-        start = m.end()
-    if start < len(text):
-        yield start, len(text)
+def units(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the units of a text, in order.
+
+    White space ends a unit after a sentence, before a capitalised word (not one in capitals), and with a line end in
+    it; a full-width sentence end needs no white space.
+    """
+    if not text:
+        return []
+    kinds = _KINDS[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    spaces = np.zeros(len(kinds) + 2, dtype=np.int8)
+    spaces[1:-1] = kinds & _SPACE
+    edges = np.diff(spaces)
+    first, behind = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    around = np.zeros(len(kinds) + 3, dtype=np.uint8)
+    around[1:-2] = kinds  # character i is around[i + 1]
+    breaks = np.zeros(len(kinds) + 1, dtype=np.int64)
+    np.cumsum((kinds & _BREAK) > 0, out=breaks[1:])
+    capital = ((around[behind + 1] & _CAPITAL) > 0) & ((around[behind + 2] & _CAPITAL) == 0)
+    cut = capital | ((around[first] & _END) > 0) | (breaks[behind] > breaks[first])
+    first, behind = first[cut], behind[cut]
+    wide = np.flatnonzero(kinds & _WIDE) + 1
+    if len(wide):
+        places = np.concatenate([np.stack([first, behind], 1), np.stack([wide, wide], 1)])
+        first, behind = places[np.lexsort((places[:, 1], places[:, 0]))].T
+    starts, ends = np.concatenate([[0], behind]), np.concatenate([first, [len(text)]])
+    keep = ends > starts
+    return list(zip(starts[keep].tolist(), ends[keep].tolist(), strict=True))
 
 
 def digests(text: str) -> tuple[list[tuple[int, int]], list[int], list[int]]:
     """Spans, 64-bit digests (signed) and word counts of the units that have words."""
     spans, marks, sizes = [], [], []
     before = ""
+    low = text.lower()
+    same = len(low) == len(text)
     for start, end in units(text):
-        words = WORDS.findall(text[start:end].lower())
+        words = WORDS.findall(low[start:end] if same else text[start:end].lower())
         if not words:
             continue
         norm = " ".join(words)
@@ -62,23 +91,30 @@ def digests(text: str) -> tuple[list[tuple[int, int]], list[int], list[int]]:
     return spans, marks, sizes
 
 
+_UNITS = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("text_key", pa.int64()),
+        ("unit", pa.int32()),
+        ("digest", pa.int64()),
+        ("words", pa.int32()),
+        ("start", pa.int32()),
+        ("end", pa.int32()),
+    ]
+)
+
+
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
         keys = batch.column("text_key").to_pylist()
-        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+        out: list[list] = [[] for _ in _UNITS]
 
         def done(out=out) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(out[0], pa.int64()),
-                    pa.array(out[1], pa.int64()),
-                    pa.array(out[2], pa.int32()),
-                    pa.array(np.array(out[3], dtype=np.uint64).view(np.int64)),
-                    pa.array(out[4], pa.int32()),
-                ],
-                names=["doc_id", "text_key", "unit", "digest", "words"],
-            )
+            arrays = [pa.array(c, t) for c, t in zip(out[:3], _UNITS.types[:3], strict=True)]
+            arrays.append(pa.array(np.array(out[3], dtype=np.uint64).view(np.int64)))
+            arrays += [pa.array(c, t) for c, t in zip(out[4:], _UNITS.types[4:], strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, schema=_UNITS)
 
         for i, text in enumerate(batch.column("text")):
             spans, marks, sizes = digests(text.as_py() or "")
@@ -87,6 +123,8 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[2].extend(range(len(spans)))
             out[3].extend(marks)
             out[4].extend(sizes)
+            out[5].extend([s for s, _ in spans])
+            out[6].extend([e for _, e in spans])
             if len(out[0]) > 100_000:
                 yield done()
                 for column in out:
@@ -94,19 +132,21 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def cut_out(text: str, repeats: dict[int, int], min_words: int) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """The text without its long runs of repeats, their spans, and the ids that the repeats have in ``repeats``."""
-    spans, _, sizes = digests(text)
+def cut_runs(
+    text: str, repeats: list[tuple[int, int, int, int, int]], min_words: int
+) -> tuple[str, list[tuple[int, int]], list[int]]:
+    """The text without its long runs of repeats (unit, start, end, words, source id), their spans, and their sources."""
+    repeats = sorted(repeats)
     removed, sources = [], set()
     i = 0
-    while i < len(spans):
-        j = i
-        while j < len(spans) and j in repeats:
+    while i < len(repeats):
+        j = i + 1
+        while j < len(repeats) and repeats[j][0] == repeats[j - 1][0] + 1:
             j += 1
-        if j > i and sum(sizes[i:j]) >= min_words:
-            removed.append((spans[i][0], spans[j - 1][1]))
-            sources.update(repeats[k] for k in range(i, j))
-        i = max(j, i + 1)
+        if sum(r[3] for r in repeats[i:j]) >= min_words:
+            removed.append((repeats[i][1], repeats[j - 1][2]))
+            sources.update(r[4] for r in repeats[i:j])
+        i = j
     kept, at = [], 0
     for start, end in removed:
         kept.append(text[at:start])
@@ -117,14 +157,20 @@ def cut_out(text: str, repeats: dict[int, int], min_words: int) -> tuple[str, li
     return "".join(kept) if removed else text, removed, sorted(sources)
 
 
+def cut_out(text: str, repeats: dict[int, int], min_words: int) -> tuple[str, list[tuple[int, int]], list[int]]:
+    """``cut_runs`` of a single text, from the ids that its repeated units have in ``repeats``."""
+    spans, _, sizes = digests(text)
+    return cut_runs(text, [(n, *spans[n], sizes[n], source) for n, source in repeats.items()], min_words)
+
+
 def _cutter(min_words: int, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans, sources = [], [], []
             for text, repeats in zip(batch.column("text"), batch.column("repeats").to_pylist(), strict=True):
-                found = {r["unit"]: r["doc_id"] for r in repeats} if repeats else {}
                 original = text.as_py()
-                new, cut, ids = cut_out(original or "", found, min_words) if found else (original, [], [])
+                found = [tuple(r.values()) for r in repeats or ()]
+                new, cut, ids = cut_runs(original or "", found, min_words) if found else (original, [], [])
                 texts.append(new)
                 spans.append([{"start": s, "end": e} for s, e in cut])
                 sources.append(ids)
@@ -151,9 +197,11 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, keep: list[str]
         F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id"),
         F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_key"),
     )
-    found = rows.select(
-        F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), F.col("_text").alias("text")
-    ).mapInArrow(_emit, "doc_id long, text_key long, unit int, digest long, words int")
+    found = stored(
+        rows.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), F.col("_text").alias("text")).mapInArrow(
+            _emit, "doc_id long, text_key long, unit int, digest long, words int, start int, end int"
+        )
+    )
     place = F.struct("doc_id", "text_key", "unit")
     firsts = (
         found.groupBy("digest")
@@ -166,7 +214,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, keep: list[str]
         .where(place != F.col("first"))
         .groupBy("doc_id", "text_key")
         .agg(
-            F.collect_set(F.struct("unit", F.col("first.doc_id").alias("doc_id"))).alias("repeats"),
+            F.collect_set(F.struct("unit", "start", "end", "words", F.col("first.doc_id").alias("source"))).alias("repeats"),
             F.sum("words").alias("n"),
         )
         .where(F.col("n") >= min_words)
