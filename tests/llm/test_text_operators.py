@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lineweave.llm import html_text as html
 from lineweave.llm import language_id as lang
@@ -199,11 +200,22 @@ def test_lm_beats_its_base_on_held_out_texts(spark):
     assert (found.score < 0).all()
 
 
+def test_lm_weights_do_not_depend_on_the_partitioning(spark):
+    docs = spark.createDataFrame([(i, prose(i, 60), i % lm.ROUNDS) for i in range(80)], "doc_id long, text string, part long")
+    vocabulary = lm.summarise(lm.count_words(docs))
+    part = F.col("part")
+    one = lm.train_weights(docs.coalesce(1), vocabulary, part).table
+    many = lm.train_weights(docs.repartition(9), vocabulary, part).table
+    assert one.shape == (lm.FEATURES * lm.BUCKETS, lm.CLASSES)
+    assert np.abs(one).max() > 0.1
+    assert np.abs(one - many).max() < 1e-4
+
+
 def test_lm_is_a_distribution(spark):
     docs = spark.createDataFrame([(i, prose(i, 50)) for i in range(60)], "doc_id long, text string")
     counts = lm.count_words(docs)
     vocabulary = lm.summarise(counts)
-    weights = lm.train_weights(docs.selectExpr("text", "doc_id % 4 AS part"), vocabulary, docs.sparkSession.range(1).select("id").columns and __import__("pyspark").sql.functions.col("part"))
+    weights = lm.train_weights(docs.selectExpr("text", "doc_id % 4 AS part"), vocabulary, F.col("part"))
     words = counts.where("g >= 0").toPandas()
     hashes = words.h.to_numpy().view(np.uint64)
     index = lm.Index(vocabulary.singles)
