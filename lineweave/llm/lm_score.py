@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,7 +207,17 @@ def count_words(train: DataFrame) -> DataFrame:
 
 def summarise(counts: DataFrame) -> Vocabulary:
     words = counts.where("g >= 0")
-    top = words.orderBy(F.desc("n"), "h").limit(TOP).toArrow()
+    # counts in bins of a sixteenth of an octave, the small ones by themselves: a few hundred rows
+    grade = F.floor(F.log2("n") * 16).cast("int")
+    room, least = TOP, None
+    for row in sorted(words.groupBy(grade.alias("b")).count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["b"]
+    # at most TOP rows, whole bins; no task sorts or gathers the table
+    top = words.where(grade >= least if least is not None else F.lit(False)).select("h", "g", "n").toArrow()
+    top = top.sort_by([("n", "descending"), ("h", "ascending")])
     top_h = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
     top_n, top_g = top.column("n").to_numpy().astype(np.int64), top.column("g").to_numpy().astype(np.int64)
     singles = top_h[:SINGLES].copy()
@@ -256,7 +267,7 @@ class Weights:
         self.table += (RATE * np.log((observed + prior) / (expected + prior))).astype(np.float32)
 
 
-def _gradient(vocabulary: Vocabulary, weights: Weights):
+def _gradient(vocabulary: Vocabulary, weights: Weights, branches: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(vocabulary.singles)
         observed = np.zeros((FEATURES * BUCKETS, CLASSES))
@@ -283,48 +294,60 @@ def _gradient(vocabulary: Vocabulary, weights: Weights):
                         expected[k * BUCKETS + row[begin]] += np.add.reduceat(p[order], begin, axis=0)
         if any_:
             size = FEATURES * BUCKETS // BLOCKS
+            branch = TaskContext.get().partitionId() % branches
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([branch] * BLOCKS, pa.int32()),
                     pa.array(list(range(BLOCKS)), pa.int32()),
                     *[
                         pa.array([m[i * size : (i + 1) * size].astype(np.float32).tobytes() for i in range(BLOCKS)], pa.binary())
                         for m in (observed, expected)
                     ],
                 ],
-                names=["block", "observed", "expected"],
+                names=["branch", "block", "observed", "expected"],
             )
 
     return run
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the blocks, one after another."""
-    sums: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for block, *parts in zip(*(batch.column(c).to_pylist() for c in ("block", "observed", "expected")), strict=True):
-            values = [np.frombuffer(p, dtype=np.float32).astype(np.float64) for p in parts]
-            old = sums.get(block)
-            sums[block] = values if old is None else [x + y for x, y in zip(old, values, strict=True)]
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(list(sums), pa.int32()),
-            *[pa.array([v[i].astype(np.float32).tobytes() for v in sums.values()], pa.binary()) for i in range(2)],
-        ],
-        names=["block", "observed", "expected"],
-    )
+def _add_up(branches: bool):
+    """Sums of the blocks, one after another: of each branch, or of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list[np.ndarray]] = {}
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("branch", "block", "observed", "expected"))
+            for branch, block, *parts in zip(*columns, strict=True):
+                key = (branch if branches else 0, block)
+                values = [np.frombuffer(p, dtype=np.float32).astype(np.float64) for p in parts]
+                old = sums.get(key)
+                sums[key] = values if old is None else [x + y for x, y in zip(old, values, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *[pa.array([k[i] for k in sums], pa.int32()) for i in range(2)],
+                *[pa.array([v[i].astype(np.float32).tobytes() for v in sums.values()], pa.binary()) for i in range(2)],
+            ],
+            names=["branch", "block", "observed", "expected"],
+        )
+
+    return run
 
 
 def train_weights(train: DataFrame, vocabulary: Vocabulary, part: Column) -> Weights:
     """ROUNDS distributed updates over the texts of ``train``; ``part`` deals them out, 0 .. ROUNDS - 1."""
     weights = Weights.start(vocabulary)
-    blocks = "block int, observed binary, expected binary"
+    branches = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = "branch int, block int, observed binary, expected binary"
     for r in range(ROUNDS):
         sums = (
             train.where(part == r)
             .select("text")
-            .mapInArrow(_gradient(vocabulary, weights), blocks)
+            .mapInArrow(_gradient(vocabulary, weights, branches), blocks)
+            # a tree: the tasks' sums meet in branches first, the branches' then in the blocks
+            .repartition("branch")
+            .mapInArrow(_add_up(branches=True), blocks)
             .repartition(BLOCKS, "block")
-            .mapInArrow(_add_up, blocks)
+            .mapInArrow(_add_up(branches=False), blocks)
             .collect()  # BLOCKS rows: the size of the weights
         )
         if sums:
