@@ -60,7 +60,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
     spark = df.sparkSession
     path = shared_folder(spark, "table")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 

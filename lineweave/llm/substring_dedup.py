@@ -98,8 +98,6 @@ _UNITS = pa.schema(
         ("unit", pa.int32()),
         ("digest", pa.int64()),
         ("words", pa.int32()),
-        ("start", pa.int32()),
-        ("end", pa.int32()),
     ]
 )
 
@@ -113,7 +111,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(out=out) -> pa.RecordBatch:
             arrays = [pa.array(c, t) for c, t in zip(out[:3], _UNITS.types[:3], strict=True)]
             arrays.append(pa.array(np.array(out[3], dtype=np.uint64).view(np.int64)))
-            arrays += [pa.array(c, t) for c, t in zip(out[4:], _UNITS.types[4:], strict=True)]
+            arrays.append(pa.array(out[4], pa.int32()))
             return pa.RecordBatch.from_arrays(arrays, schema=_UNITS)
 
         for i, text in enumerate(batch.column("text")):
@@ -123,8 +121,6 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[2].extend(range(len(spans)))
             out[3].extend(marks)
             out[4].extend(sizes)
-            out[5].extend([s for s, _ in spans])
-            out[6].extend([e for _, e in spans])
             if len(out[0]) > 100_000:
                 yield done()
                 for column in out:
@@ -132,21 +128,19 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def cut_runs(
-    text: str, repeats: list[tuple[int, int, int, int, int]], min_words: int
-) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """The text without its long runs of repeats (unit, start, end, words, source id), their spans, and their sources."""
-    repeats = sorted(repeats)
+def cut_out(text: str, repeats: dict[int, int], min_words: int) -> tuple[str, list[tuple[int, int]], list[int]]:
+    """The text without its long runs of repeats, their spans, and the ids that the repeats have in ``repeats``."""
+    spans, _, sizes = digests(text)
     removed, sources = [], set()
     i = 0
-    while i < len(repeats):
-        j = i + 1
-        while j < len(repeats) and repeats[j][0] == repeats[j - 1][0] + 1:
+    while i < len(spans):
+        j = i
+        while j < len(spans) and j in repeats:
             j += 1
-        if sum(r[3] for r in repeats[i:j]) >= min_words:
-            removed.append((repeats[i][1], repeats[j - 1][2]))
-            sources.update(r[4] for r in repeats[i:j])
-        i = j
+        if j > i and sum(sizes[i:j]) >= min_words:
+            removed.append((spans[i][0], spans[j - 1][1]))
+            sources.update(repeats[k] for k in range(i, j))
+        i = max(j, i + 1)
     kept, at = [], 0
     for start, end in removed:
         kept.append(text[at:start])
@@ -157,20 +151,14 @@ def cut_runs(
     return "".join(kept) if removed else text, removed, sorted(sources)
 
 
-def cut_out(text: str, repeats: dict[int, int], min_words: int) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """``cut_runs`` of a single text, from the ids that its repeated units have in ``repeats``."""
-    spans, _, sizes = digests(text)
-    return cut_runs(text, [(n, *spans[n], sizes[n], source) for n, source in repeats.items()], min_words)
-
-
 def _cutter(min_words: int, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans, sources = [], [], []
             for text, repeats in zip(batch.column("text"), batch.column("repeats").to_pylist(), strict=True):
                 original = text.as_py()
-                found = [tuple(r.values()) for r in repeats or ()]
-                new, cut, ids = cut_runs(original or "", found, min_words) if found else (original, [], [])
+                found = {r["unit"]: r["source"] for r in repeats or ()}
+                new, cut, ids = cut_out(original or "", found, min_words) if found else (original, [], [])
                 texts.append(new)
                 spans.append([{"start": s, "end": e} for s, e in cut])
                 sources.append(ids)
@@ -199,7 +187,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, keep: list[str]
     )
     found = stored(
         rows.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), F.col("_text").alias("text")).mapInArrow(
-            _emit, "doc_id long, text_key long, unit int, digest long, words int, start int, end int"
+            _emit, "doc_id long, text_key long, unit int, digest long, words int"
         )
     )
     place = F.struct("doc_id", "text_key", "unit")
@@ -214,7 +202,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, keep: list[str]
         .where(place != F.col("first"))
         .groupBy("doc_id", "text_key")
         .agg(
-            F.collect_set(F.struct("unit", "start", "end", "words", F.col("first.doc_id").alias("source"))).alias("repeats"),
+            F.collect_set(F.struct("unit", F.col("first.doc_id").alias("source"))).alias("repeats"),
             F.sum("words").alias("n"),
         )
         .where(F.col("n") >= min_words)
