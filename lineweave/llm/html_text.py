@@ -4,17 +4,24 @@ Pages of one host are merged into a tree of style nodes (the path of block eleme
 class and id words).  Over the host's pages a node's presentation importance is the entropy of
 the child sequences it has, and its content importance is one minus the mean entropy of the text
 units below it: what stands on every page alike tells nothing.  Their mean is the node's
-importance.  It is weighted by the role that markup declares: navigation, headers, footers,
-sidebars, notices, adverts, forms, comments and the like weigh nothing, the declared article
-weighs in full whatever the entropies say (copies of one article on a host would otherwise erase
-each other).  Branches under THRESHOLD are removed from each page.  Hosts with fewer than
-MIN_PAGES pages showing a node cannot judge it; its importance is one.
-
-Where a page declares its main element, what lies outside of it is not the article.
+importance, and a branch goes if importance times the weight of its declared role is under
+THRESHOLD.  Weights (``WEIGHTS``): navigation, headers, footers, sidebars, notices, adverts, forms,
+comments and hidden elements 0, elements whose class merely has such a word in it 1, undeclared ones
+1.5, those at or under a declared article 3.  So the style tree decides everywhere but below
+elements that say that they are not the article; adverts need that, as they differ from page to
+page.  Hosts with fewer than MIN_PAGES pages showing a node cannot judge it; its importance is one.
+Pages of a host with the same text (copies of one article) count once.
+
+Where a page declares its article, what lies outside is not the article, unless the important text
+outside is longer (then the declared ones are teasers).  If the tree would remove more than half of a
+declared article, it has nothing to compare it with (near copies on the host), and the article stays.
 
 Defined results: null html counts as empty and gives an empty text; pages without a host are judged
-by declared roles alone; a page that would lose everything keeps its undeclared branches;
-repeated rows give equal results each; an empty table gives an empty result.
+by declared roles alone; a page that would lose everything keeps its undeclared branches; elements may
+be nested to any depth (style nodes end at depth DEPTH, roles do not); ``<svg/>`` is empty, and so is an
+unclosed element whose content is left out, except scripts, styles, titles and text areas, which reach
+to the end of the page as in browsers; repeated rows give equal results each; ids stay as they are, null
+ones too; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expect_columns
+from .common import expect_columns, stored
 
 THRESHOLD = 0.3
 MIN_PAGES = 5
@@ -40,7 +47,10 @@ BROADCAST_NODES = 200_000
 
 # HTML elements by what they do.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe object svg math canvas audio video select".split())
+#: Elements whose content is text to the parser, and those whose content is no part of the text.
+RAW_TEXT = set("script style title textarea iframe".split())
+NO_TEXT = RAW_TEXT | set("noscript template object svg math canvas audio video select".split())
+OPEN_ENDED = RAW_TEXT - {"iframe"}
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var".split()
@@ -72,9 +82,13 @@ DROP_WORDS = set(
     "navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar footer masthead topbar copyright "
     "disclaimer search form paywall".split()
 )
-# Beginnings and ends of compound words that say the same.
-DROP_STARTS = ("advert", "cookie", "newsletter", "sidebar", "sponsor")
-DROP_ENDS = ("banner", "breadcrumbs", "comments", "footer", "menu", "navbar", "sidebar")
+#: Words that a class name may have beside those without changing what it says.
+NEUTRAL_WORDS = set(
+    "site page main top bottom left right center inner outer wrap wrapper container box block area section list item "
+    "items button buttons link links bar panel content group title heading slot unit primary secondary global sticky "
+    "fixed mobile desktop row col column body text post posts user users entry article articles story module zone "
+    "region header small large".split()
+)
 HEAD_WORDS = {"header"}
 MAIN_TAGS = {"article", "main"}
 MAIN_ROLES = {"main", "article"}
@@ -87,20 +101,50 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
 WORD = re.compile(r"[A-Za-z]+|(?<![0-9])[0-9](?![0-9])")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+HIDDEN = re.compile(r"display:none|visibility:hidden")
 
-KEEP, DROP, MAIN = 0, 1, 2
-#: Elements nested deeper count as part of their parent.
+KEEP, DROP, MAIN, SUSPECT = range(4)
+#: What importance is multiplied with, by role.
+WEIGHTS = {KEEP: 1.5, DROP: 0.0, MAIN: 3.0, SUSPECT: 1.0}
+#: Elements nested deeper have no style node of their own.
 DEPTH = 400
 
 
-def _drops(words: set[str]) -> bool:
-    return bool(words & DROP_WORDS) or any(w.startswith(DROP_STARTS) or w.endswith(DROP_ENDS) for w in words)
+def class_role(names: str) -> int:
+    """What a class attribute or an id says: DROP if one of its names has only words that say so (neutral ones aside),
+    SUSPECT if a name has such a word among others."""
+    role = KEEP
+    for name in names.split():
+        words = {w.lower() for w in WORD.findall(CAMEL.sub(" ", name))}
+        if words & DROP_WORDS:
+            if all(w in DROP_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in words):
+                return DROP
+            role = SUSPECT
+    return role
+
+
+def attributes_of(raw: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, *values, bare in ATTRIBUTE.findall(raw):
+        found.setdefault((name or bare).lower(), unescape(next((v for v in values if v), "")))
+    return found
+
+
+def says_drop(attributes: dict[str, str]) -> bool:
+    """Whether an element of any kind is hidden or declared to be no part of the article."""
+    return (
+        "hidden" in attributes
+        or attributes.get("aria-hidden", "").lower() == "true"
+        or bool(HIDDEN.search(attributes.get("style", "").replace(" ", "").lower()))
+        or bool(set(attributes.get("role", "").lower().split()) & DROP_ROLES)
+    )
 
 
 class _Node:
-    __slots__ = ("children", "chain", "in_main", "role", "tag")
+    __slots__ = ("chain", "children", "in_main", "role", "tag")
 
-    def __init__(self, tag: str, chain: tuple[int, ...], role: int, in_main: bool) -> None:
+    def __init__(self, tag: str, chain: tuple[tuple[int, int], ...], role: int, in_main: bool) -> None:
+        #: Style nodes from the root (or from the declared article) down, each with its role.
         self.tag, self.chain, self.role, self.in_main = tag, chain, role, in_main
         self.children: list[str] = []
 
@@ -109,13 +153,16 @@ class Page:
     """Text units of one page, each with the style nodes above it, and the child sequences of all nodes."""
 
     def __init__(self, html: str) -> None:
-        #: (text, chain of style nodes from the root, declared role)
-        self.units: list[tuple[str, tuple[int, ...], int]] = []
-        self.shapes: list[tuple[int, int]] = []
+        #: (text, chain of (style node, role) from the root, role)
+        self.units: list[tuple[str, tuple[tuple[int, int], ...], int]] = []
+        #: (chain of a node, hash of its child sequence)
+        self.shapes: list[tuple[tuple[tuple[int, int], ...], int]] = []
         self.has_main = False
         self._buffer: list[str] = []
-        self._beyond = 0
-        self._stack = [_Node("", (_hash("/"),), KEEP, False)]
+        #: An inline element whose text is left out: its name, how often it is open, the blocks open around it.
+        self._mute: tuple[str, int, int] | None = None
+        self._stack = [_Node("", ((_hash("/"), KEEP),), KEEP, False)]
+        self._open: Counter = Counter()
         self._parse(html)
 
     def _flush(self) -> None:
@@ -130,10 +177,16 @@ class Page:
     def _pop(self) -> None:
         self._flush()
         node = self._stack.pop()
-        self.shapes.append((node.chain[-1], _hash(" ".join(node.children))))
+        self._open[node.tag] -= 1
+        if self._mute and len(self._stack) < self._mute[2]:
+            self._mute = None
+        if len(self._stack) <= DEPTH:
+            self.shapes.append((node.chain, _hash(" ".join(node.children))))
 
     def _close(self, names: set[str], scopes: set[str]) -> None:
         """End the innermost open element of these names, unless a scope is nearer."""
+        if not any(self._open[n] for n in names):
+            return
         for depth in range(len(self._stack) - 1, 0, -1):
             tag = self._stack[depth].tag
             if tag in names:
@@ -144,7 +197,9 @@ class Page:
                 return
 
     def _parse(self, html: str) -> None:
-        at, lower = 0, None
+        at = 0
+        #: Names of which no end tag follows any more.
+        ended: set[str] = set()
         while True:
             m = TOKEN.search(html, at)
             if m is None:
@@ -156,91 +211,141 @@ class Page:
             if m[1]:
                 self._end(m[1].lower())
             elif m[2] or m[4]:
-                tag = (m[2] or m[4]).lower()
-                self._start(tag, m[3] or m[5] or "")
-                if tag in RAW:
-                    if lower is None:
-                        lower = html.lower() if len(html.lower()) == len(html) else re.sub("[A-Z]", lambda x: x[0].lower(), html)
-                    end = lower.find(f"</{tag}", at)
-                    at = len(html) if end < 0 else end
+                tag, raw = (m[2] or m[4]).lower(), m[3] or m[5] or ""
+                if tag not in NO_TEXT:
+                    self._start(tag, raw)
+                elif not (raw.endswith("/") and tag in ("svg", "math")):
+                    end = None if tag in ended else _end_of(html, tag, at)
+                    if end is not None:
+                        at = end
+                    elif tag in OPEN_ENDED:
+                        at = len(html)
+                    else:
+                        ended.add(tag)
         while len(self._stack) > 1:
             self._pop()
         self._flush()
-        self.shapes.append((self._stack[0].chain[-1], _hash(" ".join(self._stack[0].children))))
+        self.shapes.append((self._stack[0].chain, _hash(" ".join(self._stack[0].children))))
 
     def _text(self, text: str) -> None:
-        if text:
+        if text and not self._mute:
             self._buffer.append(unescape(text) if "&" in text else text)
 
+    def _inline(self, tag: str, raw: str) -> None:
+        if self._mute:
+            if tag == self._mute[0] and not raw.endswith("/"):
+                self._mute = (tag, self._mute[1] + 1, self._mute[2])
+        elif raw and not raw.endswith("/"):
+            attributes = attributes_of(raw)
+            named = [class_role(attributes[c]) for c in ("class", "id") if c in attributes]
+            if says_drop(attributes) or DROP in named:
+                self._mute = (tag, 1, len(self._stack))
+
     def _start(self, tag: str, raw: str) -> None:
-        if tag in INLINE or tag in RAW:
+        if tag in INLINE:
+            self._inline(tag, raw)
             return
         if tag in VOID:
             if tag in ("br", "hr"):
-                self._buffer.append(" ")
+                self._text(" ")
             return
         self._flush()
-        if len(self._stack) >= DEPTH:
-            self._beyond += 1
-            return
         if tag == "body":
             self._close({"head"}, set())
         if tag in CLOSES_PARAGRAPH:
             self._close({"p"}, SCOPES - {"p"})
         if tag in SIBLING_ENDS:
             self._close(SIBLING_ENDS[tag], SCOPES)
-        attributes = {}
-        if raw:
-            for name, *values, bare in ATTRIBUTE.findall(raw):
-                attributes.setdefault((name or bare).lower(), next((v for v in values if v), ""))
-        words = [w for c in ("class", "id") if c in attributes for w in WORD.findall(CAMEL.sub(" ", attributes[c]))]
-        words = [w.lower() for w in words]
+        attributes = attributes_of(raw) if raw else {}
+        words = [w.lower() for c in ("class", "id") if c in attributes for w in WORD.findall(CAMEL.sub(" ", attributes[c]))]
         parent = self._stack[-1]
         role, in_main = self._role(tag, attributes, set(words), parent)
         name = ".".join([tag, *words])
-        parent.children.append(name)
-        chain = (*parent.chain, _hash(f"{parent.chain[-1]} {name}"))
+        if len(self._stack) < DEPTH:
+            parent.children.append(name)
+            chain = (*parent.chain, (_hash(f"{parent.chain[-1][0]} {name}"), MAIN if in_main and role == KEEP else role))
+        else:
+            chain = parent.chain
         self._stack.append(_Node(tag, chain, role, in_main))
+        self._open[tag] += 1
 
     def _role(self, tag: str, attributes: dict[str, str], words: set[str], parent: _Node) -> tuple[int, bool]:
         if parent.role == DROP:
             return DROP, parent.in_main
-        declared = set(attributes.get("role", "").lower().split())
-        shown = attributes.get("style", "").replace(" ", "").lower()
-        if (
-            tag in DROP_TAGS
-            or declared & DROP_ROLES
-            or (_drops(words) and tag not in ("html", "body"))
-            or "hidden" in attributes
-            or attributes.get("aria-hidden", "").lower() == "true"
-            or "display:none" in shown
-        ):
+        named = [class_role(attributes[c]) for c in ("class", "id") if c in attributes and tag not in ("html", "body")]
+        if tag in DROP_TAGS or says_drop(attributes) or DROP in named:
             return DROP, parent.in_main
         if (tag == "header" or words & HEAD_WORDS) and not parent.in_main and tag not in ("html", "body", *MAIN_TAGS):
             return DROP, False
+        role = SUSPECT if SUSPECT in named else KEEP
+        declared = set(attributes.get("role", "").lower().split())
         if tag in MAIN_TAGS or declared & MAIN_ROLES or attributes.get("itemprop", "").lower() == "articlebody":
             self.has_main = True
             return KEEP, True
-        return parent.role, parent.in_main
+        return role, parent.in_main
 
     def _end(self, tag: str) -> None:
-        if tag in INLINE or tag in VOID or tag in RAW:
-            if tag == "br":
-                self._buffer.append(" ")
+        if tag in INLINE:
+            if self._mute and tag == self._mute[0]:
+                name, times, blocks = self._mute
+                self._mute = (name, times - 1, blocks) if times > 1 else None
             return
-        if self._beyond:
-            self._flush()
-            self._beyond -= 1
+        if tag in VOID or tag in NO_TEXT:
+            if tag == "br":
+                self._text(" ")
             return
         self._close({tag}, {"article", "section", "nav", "aside"} - {tag} if tag in ("p", "li") else set())
 
-    def text(self, low) -> str:
-        """Units without those below nodes of low importance; ``low`` tells of a chain if it has one."""
-        kept = [(t, chain) for t, chain, role in self.units if role == MAIN]
-        if not self.has_main:
-            free = [(t, chain) for t, chain, role in self.units if role == KEEP]
-            kept = [(t, chain) for t, chain in free if not low(chain)] or free
-        return " ".join(t for t, _ in kept)
+    def mark(self) -> int:
+        """Equal for pages with the same text in their declared article, or the same undropped text if they have none."""
+        state = xxhash.xxh64()
+        wanted = MAIN if self.has_main else KEEP
+        for text, _, role in self.units:
+            if role == wanted:
+                state.update(text.encode("utf-8", "surrogatepass") + b"\n")
+        return state.intdigest()
+
+    def text(self, importance) -> str:
+        """Units that no node of little weighted importance is above of; ``importance`` tells of a style node."""
+
+        def low(chain: tuple[tuple[int, int], ...], inside: bool) -> bool:
+            # of a declared article, only what is at or under it is asked
+            return any(
+                importance(style) * WEIGHTS[role] < THRESHOLD
+                for style, role in chain
+                if not inside or role == MAIN or role == SUSPECT
+            )
+
+        free = [(t, chain) for t, chain, role in self.units if role == KEEP]
+        free_kept = [t for t, chain in free if not low(chain, False)]
+        if self.has_main:
+            main = [(t, chain) for t, chain, role in self.units if role == MAIN]
+            kept = [t for t, chain in main if not low(chain, True)]
+            if 2 * sum(map(len, kept)) < sum(len(t) for t, _ in main):
+                kept = [t for t, _ in main]
+            if sum(map(len, kept)) >= sum(map(len, free_kept)):
+                return " ".join(kept)
+        return " ".join(free_kept or [t for t, _ in free])
+
+
+_TAGS: dict[str, re.Pattern] = {}
+
+
+def _end_of(html: str, tag: str, at: int) -> int | None:
+    """Where the end tag of an element begins that was opened before ``at``; None if there is none."""
+    if tag not in _TAGS:
+        _TAGS[tag] = re.compile(rf"<(/?){tag}(?=[\s/>])", re.IGNORECASE | re.ASCII)
+    open_ = 1
+    first = None
+    for m in _TAGS[tag].finditer(html, at):
+        if m[1]:
+            first = m.start() if first is None else first
+            open_ -= 1
+            if not open_ or tag in RAW_TEXT:
+                return m.start()
+        else:
+            open_ += 1
+    return first
 
 
 def _hash(text: str) -> int:
@@ -261,21 +366,25 @@ def _node(host: int, style: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+_FEATURES = "node long, kind int, feature long, mark long"
+#: Kinds of features: a text unit right in a node, a child sequence, a node above (or the node itself).
+UNIT, SHAPE, ABOVE = 0, 1, 2
+#: Features sent on at once.
+FLUSH = 200_000
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of pages of each feature (a text unit below a node, or a node's child sequence)."""
-    seen: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        keys = list(seen)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in keys], pa.int64()),
-                pa.array([k[1] for k in keys], pa.bool_()),
-                pa.array(np.array([k[2] for k in keys], dtype=np.uint64).view(np.int64)),
-                pa.array(list(seen.values()), pa.int64()),
-            ],
-            names=["node", "shape", "feature", "pages"],
-        )
+    """Features of the nodes of all pages, each with the mark of its page; repeats included."""
+    names = ["node", "kind", "feature", "mark"]
+    out: list[tuple[int, int, int, int]] = []
+    known: set[int] = set()
+
+    def done() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True))
+        arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32())]
+        arrays += [pa.array(np.array(columns[k], dtype=np.uint64).view(np.int64)) for k in (2, 3)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     for batch in batches:
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
@@ -283,38 +392,56 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not host or not html:
                 continue
             h, page = _hash(host), Page(html)
-            mine = {(_node(h, style), True, shape) for style, shape in page.shapes}
+            mark = page.mark()
+            for chain, shape in page.shapes:
+                node = _node(h, chain[-1][0])
+                out.append((node, SHAPE, shape, mark))
+                if node not in known:
+                    known.add(node)
+                    out.extend((node, ABOVE, _node(h, style) & 0xFFFFFFFFFFFFFFFF, 0) for style, _ in chain)
+                if len(out) > FLUSH:
+                    yield done()
             for text, chain, _ in page.units:
-                unit = _hash(text)
-                mine.update((_node(h, style), False, unit) for style in chain)
-            seen.update(mine)
-        if len(seen) > 500_000:
-            yield out()
-            seen.clear()
-    if seen:
-        yield out()
+                out.append((_node(h, chain[-1][0]), UNIT, _hash(text), mark))
+                if len(out) > FLUSH:
+                    yield done()
+            if len(known) > FLUSH:
+                known.clear()
+    if out:
+        yield done()
 
 
 def node_importance(pages: DataFrame) -> DataFrame:
     """(node, pages, importance) of every style node of every host of ``pages`` (url, html)."""
     counts = (
         expect_columns(pages, "url", "html")
-        .mapInArrow(_features, "node long, shape boolean, feature long, pages long")
-        .groupBy("node", "shape", "feature")
-        .agg(F.sum("pages").alias("pages"))
+        .mapInArrow(_features, _FEATURES)
+        .distinct()  # copies of a page count once
+        .groupBy("node", "kind", "feature")
+        .agg(F.count("*").alias("n"))
+    )
+    n = F.col("n").cast("double")
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    nodes = stored(
+        counts.groupBy("node").agg(
+            F.sum(of(SHAPE, n)).alias("shown"),
+            # sum of p * ln(p) = sum(n * ln n) / N - ln N
+            F.sum(of(SHAPE, n * F.log(n))).alias("shape_sum"),
+            F.sum(of(UNIT, F.log(n))).alias("unit_sum"),
+            F.count(of(UNIT, n)).alias("units"),
+            F.collect_set(of(ABOVE, F.col("feature"))).alias("above"),  # DEPTH at most
+        )
     )
-    n = F.col("pages").cast("double")
-    total = F.sum(F.when(F.col("shape"), n))
-    nodes = counts.groupBy("node").agg(
-        total.alias("shown"),
-        # sum of p * ln(p) = sum(n * ln n) / N - ln N
-        F.sum(F.when(F.col("shape"), n * F.log(n))).alias("shape_sum"),
-        F.avg(F.when(~F.col("shape"), F.log(n))).alias("unit_mean"),
+    below = (
+        nodes.where("units > 0")
+        .select(F.explode("above").alias("node"), "unit_sum", "units")
+        .groupBy("node")
+        .agg((F.sum("unit_sum") / F.sum("units")).alias("unit_mean"))
     )
     size = F.log(F.greatest(F.col("shown"), F.lit(2.0)))
     presentation = F.greatest(F.lit(0.0), F.log("shown") - F.col("shape_sum") / F.col("shown")) / size
-    content = F.greatest(F.lit(0.0), 1 - F.coalesce("unit_mean", F.lit(0.0)) / size)
-    return nodes.select(
+    content = F.greatest(F.lit(0.0), 1 - F.col("unit_mean") / size)
+    return nodes.join(below, "node", "left").where("shown > 0").select(
         "node",
         F.col("shown").cast("long").alias("pages"),
         F.when(F.col("shown") < MIN_PAGES, 1.0)
@@ -324,24 +451,22 @@ def node_importance(pages: DataFrame) -> DataFrame:
     )
 
 
-def _extract(low_nodes: np.ndarray | None):
-    low_set = frozenset(low_nodes.tolist()) if low_nodes is not None else None
-
+def _extract(low_nodes: dict[int, float] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            rows = batch.column("low").to_pylist() if low_set is None else [None] * batch.num_rows
+            rows = batch.column("low").to_pylist() if low_nodes is None else [None] * batch.num_rows
             for url, html, mine in zip(
                 batch.column("url").to_pylist(), batch.column("html").to_pylist(), rows, strict=True
             ):
                 host = host_of(url)
-                nodes = low_set if low_set is not None else frozenset(mine or ())
+                nodes = low_nodes if low_nodes is not None else {x["node"]: x["importance"] for x in mine or ()}
                 h = _hash(host) if host else None
 
-                def low(chain, h=h, nodes=nodes) -> bool:
-                    return h is not None and any(_node(h, style) in nodes for style in chain)
+                def importance(style: int, h=h, nodes=nodes) -> float:
+                    return 1.0 if h is None else nodes.get(_node(h, style), 1.0)
 
-                texts.append(Page(html).text(low) if html else "")
+                texts.append(Page(html).text(importance) if html else "")
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("page_id"),
@@ -358,31 +483,33 @@ def _extract(low_nodes: np.ndarray | None):
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The style nodes of every page."""
     for batch in batches:
-        keys, nodes = [], []
         for key, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_key", "url", "html")), strict=True):
             host = host_of(url)
             if host and html:
                 h = _hash(host)
-                mine = {_node(h, style) for style, _ in Page(html).shapes}
-                keys += [key] * len(mine)
-                nodes += mine
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], names=["page_key", "node"])
+                mine = list({_node(h, chain[-1][0]) for chain, _ in Page(html).shapes})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(mine), pa.int64()), pa.array(mine, pa.int64())], names=["page_key", "node"]
+                )
 
 
 def html_text(pages: DataFrame, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): text and n_chars."""
     rows = expect_columns(pages, "page_id", "url", "html")
-    low = node_importance(rows).where(F.col("importance") < THRESHOLD).select("node")
-    found = low.limit(broadcast_nodes + 1).toArrow().column("node").to_numpy()
+    # no weight but zero is under one: nodes of THRESHOLD or more never go
+    low = node_importance(rows).where(F.col("importance") < THRESHOLD).select("node", "importance")
+    found = low.limit(broadcast_nodes + 1).toArrow()
     result = "page_id long, url string, text string, n_chars long"
     rows = rows.withColumn("page_id", F.col("page_id").cast("long"))
-    if len(found) <= broadcast_nodes:
-        return rows.mapInArrow(_extract(found), result)
+    if found.num_rows <= broadcast_nodes:
+        return rows.mapInArrow(_extract(dict(zip(*found.to_pydict().values(), strict=True))), result)
+    low = stored(low)
     keyed = rows.withColumn("page_key", F.xxhash64("url", "html"))
     mine = (
         keyed.mapInArrow(_chains, "page_key long, node long")
+        .distinct()
         .join(low, "node")
         .groupBy("page_key")
-        .agg(F.collect_set("node").alias("low"))
+        .agg(F.collect_list(F.struct("node", "importance")).alias("low"))
     )
     return keyed.join(mine, "page_key", "left").select("page_id", "url", "html", "low").mapInArrow(_extract(None), result)
