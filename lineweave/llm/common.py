@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -181,3 +182,101 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def expect_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns go on, so that others, whatever their names, cannot clash."""
     return df.select(*[df[n] for n in names])
+
+
+#: At most so many keys hold more than one in HOT_SHARE of all rows.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """Equi-join (inner or left) of ``rows`` with ``groups``, which has one row for a key and the number of rows with it.
+
+    Keys that hold more than one in HOT_SHARE of the grouped rows are HOT_SHARE at most, so they are sent to the
+    rows; the rows of all others move to their key.  Both tables are read twice and should be stored ones.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    edge = max(total // HOT_SHARE, HOT_SHARE)
+    payload = [c for c in groups.columns if c not in keys and c != size]
+    hot = F.broadcast(groups.where(F.col(size) > edge).select(*keys, *payload))
+    cold = groups.where(F.col(size) <= edge).select(*keys, *payload)
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))
+
+
+class KeyFilter:
+    """A Bloom filter of 64-bit keys, of MOST bits at most; it never denies a key that is in it."""
+
+    MOST = 1 << 27
+    BITS_A_KEY = 16
+    PROBES = 4
+    PARTS = 64
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    @staticmethod
+    def places(keys: np.ndarray, size: int) -> np.ndarray:
+        h = mix64(keys.astype(np.int64).view(np.uint64))
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return np.concatenate([(h + np.uint64(i) * step) & np.uint64(size - 1) for i in range(KeyFilter.PROBES)]).astype(np.int64)
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> KeyFilter:
+        """Over the one column of ``keys`` (long).  Tasks set bits, which meet in PARTS pieces of the filter."""
+        name = keys.columns[0]
+        size = min(cls.MOST, max(1 << 13, 1 << int(keys.count() * cls.BITS_A_KEY).bit_length()))
+        piece = size // 8 // cls.PARTS
+
+        def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part, bits in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                    found = np.frombuffer(bits, dtype=np.uint8)
+                    sums[part] = sums[part] | found if part in sums else found
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "bits"]
+            )
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(size, dtype=bool)
+            for batch in batches:
+                bits[cls.places(batch.column(0).to_numpy(), size)] = True
+            packed = np.packbits(bits).reshape(cls.PARTS, piece)
+            some = np.flatnonzero(packed.any(axis=1)).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()), pa.array([packed[i].tobytes() for i in some], pa.binary())], names=["part", "bits"]
+            )
+
+        parts = (
+            keys.where(F.col(name).isNotNull())
+            .mapInArrow(fill, "part int, bits binary")
+            .repartition(cls.PARTS, "part")
+            .mapInArrow(unite, "part int, bits binary")
+            .collect()  # the filter: MOST / 8 bytes at most
+        )
+        whole = np.zeros((cls.PARTS, piece), dtype=np.uint8)
+        for row in parts:
+            whole[row["part"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
+        return cls(whole.ravel())
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        at = self.places(keys, len(self.bits) * 8)
+        hit = (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        return hit.reshape(self.PROBES, -1).all(axis=0)
+
+
+def marked_rows(rows: DataFrame, marked: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``key`` may be among the keys ``marked``, and those whose key certainly is not.
+
+    What is to be done with few rows is done without moving the others.  Beyond the size of the filter all rows may
+    be marked, which costs time only.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(KeyFilter.of(marked).bits)
+
+    @F.pandas_udf("boolean")
+    def may(keys: pd.Series) -> pd.Series:
+        return pd.Series(KeyFilter(held.value).holds(keys.to_numpy()))
+
+    names = rows.columns
+    # told apart by the key alone, so that texts do not pass through Python
+    flag = may(F.col(f"`{key}`"))
+    return tuple(rows.withColumn("__may", flag).where(want).select(*[f"`{n}`" for n in names]) for want in ("__may", "NOT __may"))

@@ -1,15 +1,22 @@
 """Substring deduplication by hashing of lines and their sentences.
 
-Texts are cut into units at line ends, after sentence ends and before capitalised words (where a
-pasted passage begins inside a line).  Units are normalised (lower case, words only) and hashed;
-a unit of fewer than SHORT words is hashed together with the one before it, since alone it says
-nothing.  Digests are grouped globally, the occurrence of lowest rank (smallest doc_id, then place
-in the text) stays, later ones are repeats.  Runs of consecutive repeats with MIN_WORDS words or
-more are cut out; offsets are those of the original text, in code points.
+Texts are cut into units: at line ends, and inside a line after sentence ends and before capitalised
+words, where a passage that was pasted into the middle of a line begins.  Units of over LONG words (no
+marks, as in lower-case text or unspaced scripts) are cut before words whose hash is divisible by
+CONTENT, so equal passages are cut alike wherever they stand.  Units are normalised (lower case, words
+only; each character of an unspaced script is a word, and two of them count as one) and hashed to 96
+bits; a unit of fewer than SHORT words is hashed together with the one before it, since alone it says
+nothing.  Digests are grouped globally, the occurrence of lowest rank (smallest doc_id, then place in
+the text) stays, all later ones go.  ``min_words`` spares runs of consecutive later occurrences with
+fewer words; off unless given.
+
+``removed`` has the spans of the original text that are gone (white space behind a unit goes with it),
+``kept`` those that stay, both in code points: the text is its ``kept`` spans put together.
 
 Defined results: a null text counts as empty; a null id ranks first; rows that repeat both id and
 text are one document and get equal results; a text may lose all of its units and is then empty;
-columns besides doc_id and text are ignored; an empty table gives an empty result.
+very long texts are units like any others; columns besides doc_id and text are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expect_columns, stored, text_or_empty
+from .common import expect_columns, join_hot, marked_rows, stored, text_or_empty
 
-MIN_WORDS = 20
+#: What the registered query and the pipeline spare: stock phrases and license lines of clean documents.
+SPARED_BELOW = 20
 SHORT = 3
+LONG = 24
+CONTENT = 4
 NULL_ID = -(1 << 63)
 
 _SPACE, _CAPITAL, _END, _BREAK, _WIDE = 1, 2, 4, 8, 16
@@ -40,7 +50,10 @@ for _chars, _kind in (
     ("。！？", _WIDE),
 ):
     _KINDS[[ord(c) for c in _chars]] |= _kind
-WORDS = re.compile(r"\w+")
+# Scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, ideographs).
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+WORDS = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+_UNSPACED = re.compile(f"[{UNSPACED}]")
 
 
 def units(text: str) -> list[tuple[int, int]]:
@@ -72,64 +85,89 @@ def units(text: str) -> list[tuple[int, int]]:
     return list(zip(starts[keep].tolist(), ends[keep].tolist(), strict=True))
 
 
-def digests(text: str) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """Spans, 64-bit digests (signed) and word counts of the units that have words."""
+def _pieces(low: str, start: int, end: int) -> Iterator[tuple[int, int, list[str]]]:
+    """A unit with its words; one of over LONG words in pieces that its content alone decides."""
+    words = WORDS.findall(low, start, end)
+    if len(words) <= LONG:
+        yield start, end, words
+        return
+    at, mine = start, []
+    for m in WORDS.finditer(low, start, end):
+        if mine and xxhash.xxh32_intdigest(m[0].encode("utf-8", "surrogatepass")) % CONTENT == 0:
+            yield at, m.start(), mine
+            at, mine = m.start(), []
+        mine.append(m[0])
+    yield at, end, mine
+
+
+def _lower(text: str) -> str:
+    """Lower case, character by character where that changes the length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c in text for x in (c.lower(),))
+
+
+def digests(text: str) -> tuple[list[tuple[int, int]], list[bytes], list[int]]:
+    """Spans, 96-bit digests and word counts of the units that have words."""
     spans, marks, sizes = [], [], []
     before = ""
-    low = text.lower()
-    same = len(low) == len(text)
-    for start, end in units(text):
-        words = WORDS.findall(low[start:end] if same else text[start:end].lower())
-        if not words:
-            continue
-        norm = " ".join(words)
-        key = norm if len(words) >= SHORT else f"{before}\n{norm}"
-        spans.append((start, end))
-        marks.append(xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass")))
-        sizes.append(len(words))
-        before = norm
+    low = _lower(text)
+    wide = bool(_UNSPACED.search(low))
+    for begin, finish in units(text):
+        for start, end, words in _pieces(low, begin, finish):
+            if not words:
+                continue
+            norm = " ".join(words)
+            key = norm if len(words) >= SHORT else f"{before}\n{norm}"
+            spans.append((start, end))
+            marks.append(xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass"))[:12])
+            sizes.append(len(words) if not wide else len(words) - sum(map(bool, map(_UNSPACED.match, words))) // 2)
+            before = norm
     return spans, marks, sizes
 
 
-_UNITS = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("text_key", pa.int64()),
-        ("unit", pa.int32()),
-        ("digest", pa.int64()),
-        ("words", pa.int32()),
-    ]
-)
+_UNITS = "doc_id long, text_key long, unit int, digest long, tail int, words int"
+#: Units sent on at once.
+FLUSH = 100_000
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        keys = batch.column("text_key").to_pylist()
-        out: list[list] = [[] for _ in _UNITS]
+        ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
+        out: list[list] = [[] for _ in range(5)]
 
         def done(out=out) -> pa.RecordBatch:
-            arrays = [pa.array(c, t) for c, t in zip(out[:3], _UNITS.types[:3], strict=True)]
-            arrays.append(pa.array(np.array(out[3], dtype=np.uint64).view(np.int64)))
-            arrays.append(pa.array(out[4], pa.int32()))
-            return pa.RecordBatch.from_arrays(arrays, schema=_UNITS)
+            marks = np.frombuffer(b"".join(out[3]), dtype=np.dtype([("digest", "<i8"), ("tail", "<i4")]))
+            found = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(out[0], pa.int64()),
+                    pa.array(out[1], pa.int64()),
+                    pa.array(out[2], pa.int32()),
+                    pa.array(np.ascontiguousarray(marks["digest"])),
+                    pa.array(np.ascontiguousarray(marks["tail"])),
+                    pa.array(out[4], pa.int32()),
+                ],
+                names=["doc_id", "text_key", "unit", "digest", "tail", "words"],
+            )
+            for column in out:
+                column.clear()
+            return found
 
         for i, text in enumerate(batch.column("text")):
-            spans, marks, sizes = digests(text.as_py() or "")
-            out[0].extend([ids[i]] * len(spans))
-            out[1].extend([keys[i]] * len(spans))
-            out[2].extend(range(len(spans)))
-            out[3].extend(marks)
-            out[4].extend(sizes)
-            if len(out[0]) > 100_000:
-                yield done()
-                for column in out:
-                    column.clear()
+            _, marks, sizes = digests(text.as_py() or "")
+            for at in range(0, len(marks), FLUSH):
+                n = len(marks[at : at + FLUSH])
+                out[0].extend([ids[i]] * n)
+                out[1].extend([keys[i]] * n)
+                out[2].extend(range(at, at + n))
+                out[3].extend(marks[at : at + n])
+                out[4].extend(sizes[at : at + n])
+                if len(out[0]) >= FLUSH:
+                    yield done()
         yield done()
 
 
-def cut_out(text: str, repeats: dict[int, int], min_words: int) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """The text without its long runs of repeats, their spans, and the ids that the repeats have in ``repeats``."""
+def cut_out(text: str, repeats: dict[int, int], min_words: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Spans of the runs of repeats that go, and the ids that the repeats have in ``repeats``."""
     spans, _, sizes = digests(text)
     removed, sources = [], set()
     i = 0
@@ -138,90 +176,116 @@ def cut_out(text: str, repeats: dict[int, int], min_words: int) -> tuple[str, li
         while j < len(spans) and j in repeats:
             j += 1
         if j > i and sum(sizes[i:j]) >= min_words:
-            removed.append((spans[i][0], spans[j - 1][1]))
+            end = spans[j - 1][1]
+            while end < len(text) and text[end].isspace():  # the white space behind goes too
+                end += 1
+            removed.append((spans[i][0], end))
             sources.update(repeats[k] for k in range(i, j))
         i = max(j, i + 1)
-    kept, at = [], 0
-    for start, end in removed:
-        kept.append(text[at:start])
-        while end < len(text) and text[end].isspace():  # the white space behind goes too
-            end += 1
-        at = end
-    kept.append(text[at:])
-    return "".join(kept) if removed else text, removed, sorted(sources)
+    return removed, sorted(sources)
+
+
+def _others(length: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the spans leave of a text of this length."""
+    edges = [0, *[x for span in spans for x in span], length]
+    return [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b > a]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _cutter(min_words: int, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans, sources = [], [], []
+            texts, gone, kept, sources = [], [], [], []
             for text, repeats in zip(batch.column("text"), batch.column("repeats").to_pylist(), strict=True):
                 original = text.as_py()
+                whole = original or ""
                 found = {r["unit"]: r["source"] for r in repeats or ()}
-                new, cut, ids = cut_out(original or "", found, min_words) if found else (original, [], [])
-                texts.append(new)
-                spans.append([{"start": s, "end": e} for s, e in cut])
+                cut, ids = cut_out(whole, found, min_words) if found else ([], [])
+                stay = _others(len(whole), cut)
+                texts.append("".join(whole[a:b] for a, b in stay) if cut else original)
+                gone.append([{"start": a, "end": b} for a, b in cut])
+                kept.append([{"start": a, "end": b} for a, b in stay])
                 sources.append(ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in extra],
                     pa.array(texts, pa.string()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array(gone, _SPANS),
+                    pa.array(kept, _SPANS),
                     pa.array(sources, pa.list_(pa.int64())),
                 ],
-                names=[*extra, "text", "removed", "source_ids"],
+                names=[*extra, "text", "removed", "kept", "source_ids"],
             )
 
     return run
 
 
-def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, keep: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): the ``keep`` columns (doc_id if none are named), the text that
-    stays, ``removed`` (spans in the original text) and ``source_ids`` (documents that hold what was removed)."""
-    keep = keep or ["doc_id"]
-    rows = docs.select(
-        *[docs[c] for c in keep],
-        docs["text"].alias("_text"),
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id"),
-        F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_key"),
-    )
+def later_occurrences(rows: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _key, repeats) of the texts of ``rows`` (_id, _key, _text) with later occurrences of ``min_words`` words or
+    more in all; repeats: (unit, source) of each, source being the document of the first occurrence."""
     found = stored(
         rows.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), F.col("_text").alias("text")).mapInArrow(
-            _emit, "doc_id long, text_key long, unit int, digest long, words int"
+            _emit, _UNITS
         )
     )
     place = F.struct("doc_id", "text_key", "unit")
-    firsts = (
-        found.groupBy("digest")
+    firsts = stored(
+        found.groupBy("digest", "tail")
         .agg(F.min(place).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("digest", "first")
-    )
-    repeats = (
-        found.join(firsts, "digest")
-        .where(place != F.col("first"))
+        .select("digest", "tail", F.col("first.doc_id").alias("source"), F.col("first.text_key").alias("key"),
+                F.col("first.unit").alias("at"), "n")
+    )
+    return (
+        join_hot(found, firsts, ["digest", "tail"], "n")
+        .where((F.col("doc_id") != F.col("source")) | (F.col("text_key") != F.col("key")) | (F.col("unit") != F.col("at")))
         .groupBy("doc_id", "text_key")
-        .agg(
-            F.collect_set(F.struct("unit", F.col("first.doc_id").alias("source"))).alias("repeats"),
-            F.sum("words").alias("n"),
-        )
+        .agg(F.collect_set(F.struct("unit", "source")).alias("repeats"), F.sum("words").alias("n"))
         .where(F.col("n") >= min_words)
         .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "repeats")
     )
+
+
+def substring_dedup(docs: DataFrame, min_words: int = 1, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): the ``keep`` columns (doc_id if none are named), the text that
+    stays, ``removed`` and ``kept`` (spans in the original text) and ``source_ids`` (documents that hold what was
+    removed)."""
+    keep = keep or ["doc_id"]
+    rows = docs.select(
+        *[docs[c] for c in keep],
+        docs["text"].alias("_text"),
+        F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_id"),
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_key"),
+    )
+    repeats = stored(later_occurrences(rows, min_words))
     kept_types = [docs.schema[c] for c in keep]
+    spans = "array<struct<start: long, end: long>>"
     schema = ", ".join(
-        [*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept_types], "text string",
-         "removed array<struct<start: long, end: long>>", "source_ids array<long>"]
+        [*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept_types],
+         "text string", f"removed {spans}", f"kept {spans}", "source_ids array<long>"]
     )
-    return (
-        rows.join(repeats, ["_id", "_key"], "left")
+    # only texts with something to remove move to where their repeats are
+    touched, untouched = marked_rows(rows, repeats.select("_key"), "_key")
+    cut = (
+        touched.join(repeats, ["_id", "_key"], "left")
         .select(*keep, F.col("_text").alias("text"), "repeats")
         .mapInArrow(_cutter(min_words, keep), schema)
     )
+    whole = F.struct(F.lit(0).cast("long").alias("start"), F.length("_text").cast("long").alias("end"))
+    same = untouched.select(
+        *keep,
+        F.col("_text").alias("text"),
+        F.array().cast(spans).alias("removed"),
+        F.filter(F.array(whole), lambda x: x["end"] > 0).alias("kept"),
+        F.array().cast("array<long>").alias("source_ids"),
+    )
+    return cut.unionByName(same)
 
 
-def substring_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``substring_dedup`` with counts: doc_id, text, n_removed, removed_chars, removed, source_ids."""
+def substring_report(docs: DataFrame, min_words: int = SPARED_BELOW) -> DataFrame:
+    """``substring_dedup`` with counts: doc_id, text, n_removed, removed_chars, removed, kept, source_ids."""
     rows = expect_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return substring_dedup(rows, min_words).select(
         "doc_id",
@@ -229,6 +293,7 @@ def substring_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.size("removed").cast("long").alias("n_removed"),
         F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"]).alias("removed_chars"),
         "removed",
+        "kept",
         # null ids are ids too
         F.transform("source_ids", lambda i: F.when(i != NULL_ID, i)).alias("source_ids"),
     )

@@ -159,25 +159,84 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def plain_substring(data, min_words=sub.MIN_WORDS):
-    first, flags = {}, {}
-    seen = set()
-    for i, text in sorted(data, key=lambda r: (sub.NULL_ID if r[0] is None else r[0], xxhash.xxh64_intdigest((r[1] or "").encode(), 42))):
-        if (i, text) in seen:
+CAPITALS = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
+WIDE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+
+
+def plain_words(text):
+    return re.findall(rf"[{WIDE}]|[^\W{WIDE}]+", text)
+
+
+def plain_units(text):
+    """(start, end, key, words) of the units of a text, from the description and by regular expressions only."""
+    places = [(m.end(), m.end()) for m in re.finditer("[。！？]", text)]
+    one_capital = re.compile(rf"[{CAPITALS}](?![{CAPITALS}])")
+    for m in re.finditer(r"\s+", text):
+        capital = one_capital.match(text, m.end())
+        if capital or text[m.start() - 1 : m.start()] in list(".!?") or re.search(r"[\r\n]", m[0]):
+            places.append((m.start(), m.end()))
+    at, before, out = 0, "", []
+    for a, b in [*sorted(places), (len(text), len(text))]:
+        start, at = at, max(at, b)
+        if a <= start:
             continue
-        seen.add((i, text))
-        for n, mark in enumerate(sub.digests(text or "")[1]):
-            if mark in first:
-                flags.setdefault((i, text), {})[n] = first[mark]
-            else:
-                first[mark] = i
-    return [(i, *sub.cut_out(text or "", flags.get((i, text), {}), min_words)[:2]) for i, text in data]
-
-
-def test_substring_dedup(docs):
-    got = [(r.doc_id, r.text, [(s.start, s.end) for s in r.removed]) for r in sub.substring_report(docs).collect()]
+        pieces = [(start, a)]
+        if len(plain_words(text[start:a].lower())) > 24:
+            found = list(re.finditer(rf"[{WIDE}]|[^\W{WIDE}]+", text[start:a]))
+            edges = [start + m.start() for m in found[1:] if xxhash.xxh32(m[0].lower().encode()).intdigest() % 4 == 0]
+            pieces = list(zip([start, *edges], [*edges, a], strict=True))
+        for x, y in pieces:
+            words = plain_words(text[x:y].lower())
+            if words:
+                norm = " ".join(words)
+                count = len(words) - len(re.findall(f"[{WIDE}]", text[x:y])) // 2
+                out.append((x, y, norm if len(words) > 2 else before + "|" + norm, count))
+                before = norm
+    return out
+
+
+def plain_substring(data, min_words=sub.SPARED_BELOW):
+    """(id, what stays, spans that go)."""
+    order = sorted(set(data), key=lambda r: (sub.NULL_ID if r[0] is None else r[0], xxhash.xxh64_intdigest((r[1] or "").encode(), 42)))
+    seen, later = set(), set()
+    for i, text in order:
+        for n, unit in enumerate(plain_units(text or "")):
+            if unit[2] in seen:
+                later.add((i, text, n))
+            seen.add(unit[2])
+    out = []
+    for i, text in data:
+        found, run, gone = plain_units(text or ""), [], []
+        for n, unit in enumerate([*found, None]):
+            if unit and (i, text, n) in later:
+                run.append(unit)
+            elif run:
+                if sum(u[3] for u in run) >= min_words:
+                    gone.append((run[0][0], re.compile(r"\s*").match(text, run[-1][1]).end()))
+                run = []
+        edges = [0, *[x for span in gone for x in span], len(text or "")]
+        stays = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if gone else text
+        out.append((i, stays, gone))
+    return out
+
+
+@pytest.mark.parametrize("min_words", [1, sub.SPARED_BELOW])
+def test_substring_dedup(spark, docs, min_words):
+    found = sub.substring_report(docs, min_words).collect()
     data = [r[:2] for r in rows()]
-    assert sorted(map(str, got)) == sorted(map(str, plain_substring(data)))
+    originals = {}
+    for i, t in data:
+        originals.setdefault(i, []).append(t or "")
+    for r in found:
+        # the text is the original without what is removed, and its kept spans put together
+        assert any(
+            r.text == "".join(t[s.start : s.end] for s in r.kept)
+            and sum(s.end - s.start for s in [*r.kept, *r.removed]) == len(t)
+            for t in originals[r.doc_id]
+        )
+    got = [(r.doc_id, r.text, [(s.start, s.end) for s in r.removed]) for r in found]
+    want = [(i, t or "", gone) for i, t, gone in plain_substring(data, min_words)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
     # the copy goes, the first one and the upper-case form of it: same words, so it goes too
     left = {i: t for i, t, _ in got}
     assert left[1]
@@ -185,6 +244,29 @@ def test_substring_dedup(docs):
     assert left[3] == ""
 
 
+def test_substring_dedup_of_the_sample(spark):
+    data = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = sub.substring_dedup(df).collect()
+    want = plain_substring(data, 1)
+    assert sorted((r.doc_id, r.text, [tuple(s) for s in r.removed]) for r in got) == sorted(want)
+
+
+def test_passages_without_marks_are_found(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    passage = " ".join(word() for _ in range(80))
+    wide = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(160))
+    texts = []
+    for i in range(6):
+        here = passage if i % 2 else wide
+        texts.append((i, " ".join(word() for _ in range(60)) + f" {here} " + " ".join(word() for _ in range(60))))
+    got = {r.doc_id: r for r in sub.substring_report(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, text in texts:
+        gone = sum(s.end - s.start for s in got[i].removed)
+        assert (gone == 0) if i < 2 else (gone > 0.6 * len(passage if i % 2 else wide)), text
+
+
 def test_a_pasted_passage_is_cut_out_of_the_middle_of_lines(spark):
     passage = "Once upon a time there lived a fisherman. He rowed out every day before dawn. " * 1 + (
         "Nobody knew what he looked for between the rocks. At night he mended nets by the fire and sang songs "
@@ -196,7 +278,7 @@ def test_a_pasted_passage_is_cut_out_of_the_middle_of_lines(spark):
     got = {r.doc_id: r for r in sub.substring_report(spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string")).collect()}
     assert got[1].text == a
     assert got[3].text == c
-    assert [b[s.start : s.end] for s in got[2].removed] == [passage]
+    assert [b[s.start : s.end] for s in got[2].removed] == [passage + " "]
     assert got[2].text == "Quite another beginning\nof two lines with another end. Short. End."
     assert got[2].source_ids == [1]
 

@@ -73,7 +73,7 @@ def test_every_operator_has_its_query():
     names = list(llm.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
     assert set(llm.oracle_sql()) <= set(names)
-    assert sub.MIN_WORDS <= 50
+    assert sub.SPARED_BELOW <= 50
     assert len(rows()) == 19
 
 
