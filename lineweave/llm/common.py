@@ -196,7 +196,7 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     edge = max(total // HOT_SHARE, HOT_SHARE)
-    payload = [c for c in groups.columns if c not in keys and c != size]
+    payload = [c for c in groups.columns if c not in keys]
     hot = F.broadcast(groups.where(F.col(size) > edge).select(*keys, *payload))
     cold = groups.where(F.col(size) <= edge).select(*keys, *payload)
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))

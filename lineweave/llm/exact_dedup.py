@@ -3,8 +3,10 @@
 A text is a sequence of chunks.  Each chunk has a polynomial hash modulo two primes, and hashes
 combine by length-shifted arithmetic, ``h(a + b) = h(a) * r**len(b) + h(b)``, so the chunks of a
 huge text can be hashed side by side, in any grouping.  Rows with equal fingerprints and lengths
-are then compared chunk by chunk against one row of their group, in a single sorted stream; rows
-that differ after all (a collision) are told apart by their SHA-256.
+are then compared chunk by chunk against one row of their group, in sorted streams of at most PER_SALT
+rows; rows that differ after all (a collision) are told apart by their SHA-256.  Only texts whose key
+(a hash, looked up in a Bloom filter) occurs more than once move at all, and rows that repeat an id and
+a text are compared where they stand, so that each is chunked once.
 
 Defined results: a null text counts as empty; a null id sorts below all others; rows that repeat
 both id and text are one document and all of them carry the same values (``kept`` included);
@@ -14,6 +16,7 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, expect_columns, row_windows, string_bytes, text_or_empty
+from .common import durable, expect_columns, join_hot, marked_rows, row_windows, stored, string_bytes, text_or_empty
 
 #: The two largest primes under 2**31 and a base for each (fixed values).
 PRIMES = (2147483647, 2147483629)
@@ -30,6 +33,8 @@ CHUNK = 1 << 16
 #: Rows of one group that are compared against one copy of its first row's chunks.
 PER_SALT = 512
 NULL_ID = -(1 << 63)
+#: Bytes of texts that a task keeps to know rows that repeat an id and a text.
+HELD_BYTES = 32 << 20
 
 _POW = []
 for _p, _r in zip(PRIMES, BASES, strict=True):
@@ -107,21 +112,48 @@ _CHUNK_SCHEMA = pa.schema(
 )
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without those that repeat both id and text of one that was met a short while ago."""
+    held: OrderedDict[tuple[int, int], bytes] = OrderedDict()
+    size = 0
+    for batch in batches:
+        buf, offsets = string_bytes(batch.column("text"))
+        view = memoryview(np.ascontiguousarray(buf))
+        stay = []
+        keys = zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), strict=True)
+        for i, key in enumerate(keys):
+            text = view[int(offsets[i]) : int(offsets[i + 1])]
+            if key in held and held[key] == text:
+                held.move_to_end(key)
+                continue
+            stay.append(i)
+            if key not in held and len(text) <= HELD_BYTES:
+                held[key] = bytes(text)
+                size += len(text)
+                while size > HELD_BYTES:
+                    size -= len(held.popitem(last=False)[1])
+        yield batch.take(pa.array(stay, pa.int64()))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk; those of a group's first row once for every PER_SALT rows of the group."""
+    """One row per chunk; those of a group's lead once for every PER_SALT rows of the group."""
     out: list[tuple] = []
     size = 0
-    for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("fp", "n_bytes", "doc_id", "text_key", "lead", "group_size")]
+    led: set[tuple[int, int]] = set()
+    for batch in _once(batches):
+        cols = [batch.column(c).to_pylist() for c in ("fp", "n_bytes", "doc_id", "text_key", "lead", "lead_key", "group_size")]
         buf, offsets = string_bytes(batch.column("text"))
         view = memoryview(np.ascontiguousarray(buf))
-        for i, (fp, n, doc_id, key, lead, group) in enumerate(zip(*cols, strict=True)):
+        for i, (fp, n, doc_id, key, lead, lead_key, group) in enumerate(zip(*cols, strict=True)):
             salts = -(-group // PER_SALT)
-            mine = range(salts) if doc_id == lead else [(doc_id ^ (doc_id >> 17)) % salts]
+            leads = (doc_id, key) == (lead, lead_key) and (fp, n) not in led
+            if leads:
+                led.add((fp, n))
+            mine = range(salts) if leads else [((doc_id ^ key) ^ (key >> 17)) % salts]
             for number, at in enumerate(range(int(offsets[i]), int(offsets[i + 1]), CHUNK)):
                 piece = bytes(view[at : min(at + CHUNK, int(offsets[i + 1]))])
                 for salt in mine:
-                    out.append((fp, n, salt, number, doc_id != lead, doc_id, key, piece))
+                    out.append((fp, n, salt, number, not leads, doc_id, key, piece))
                     size += len(piece)
                     if size >= 4 << 20:
                         yield _chunk_batch(out)
@@ -167,31 +199,45 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
     groups = (
         signed.groupBy("fp", "n_bytes")
-        .agg(F.max("doc_id").alias("lead"), F.count("*").alias("group_size"))
+        .agg(F.max(F.struct("doc_id", "text_key")).alias("l"), F.count("*").alias("group_size"))
         .where((F.col("group_size") > 1) & (F.col("n_bytes") > 0))
+        .select("fp", "n_bytes", F.col("l.doc_id").alias("lead"), F.col("l.text_key").alias("lead_key"), "group_size")
     )
-    members = signed.join(groups, ["fp", "n_bytes"]).groupBy("doc_id", "text_key").agg(
-        *[F.first(c).alias(c) for c in ("fp", "n_bytes", "lead", "group_size")]
+    members = stored(
+        join_hot(signed, stored(groups), ["fp", "n_bytes"], "group_size")
+        .groupBy("doc_id", "text_key")
+        .agg(*[F.first(c).alias(c) for c in ("fp", "n_bytes", "lead", "lead_key", "group_size")])
     )
-    pieces = rows.join(members, ["doc_id", "text_key"]).mapInArrow(
-        _chunks,
-        "fp long, n_bytes long, salt int, chunk_no int, other boolean, doc_id long, text_key long, chunk binary",
+    several, _ = marked_rows(rows, members.select("text_key"), "text_key")
+    pieces = (
+        several.mapInArrow(_once, "doc_id long, text string, text_key long")
+        .join(members, ["doc_id", "text_key"])
+        .repartition("doc_id", "text_key")
+        .mapInArrow(
+            _chunks,
+            "fp long, n_bytes long, salt int, chunk_no int, other boolean, doc_id long, text_key long, chunk binary",
+        )
     )
     place = ["fp", "n_bytes", "salt", "chunk_no"]
-    differing = (
+    differing = stored(
         pieces.repartition(*place)
         .sortWithinPartitions(*place, "other")
         .mapInArrow(_compare, "doc_id long, text_key long")
         .distinct()
-        .withColumn("apart", F.lit(True))
-    )
-    settled = signed.join(differing, ["doc_id", "text_key"], "left").withColumn(
-        "apart", F.when(F.col("apart"), F.col("sha")).otherwise(F.lit(b""))
     )
+    none = F.lit(b"")
+    if differing.isEmpty():
+        settled = signed.withColumn("apart", none)
+    else:
+        settled = durable(
+            signed.join(differing.withColumn("differs", F.lit(True)), ["doc_id", "text_key"], "left")
+            .withColumn("apart", F.when(F.col("differs"), F.col("sha")).otherwise(none))
+            .drop("differs")
+        )
     same = ["fp", "n_bytes", "apart"]
-    result = settled.groupBy(*same).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    result = stored(settled.groupBy(*same).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return settled.join(result, same).select(
+    return join_hot(settled, result, same, "group_size").select(
         real("doc_id").alias("doc_id"),
         real("keep_id").alias("keep_id"),
         "group_size",

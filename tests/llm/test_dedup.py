@@ -83,6 +83,26 @@ def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     assert got == {i: (5000, 1) if i == 5000 else (max(j for j, t in data if t == text), 433) for i, text in data}
 
 
+def test_repeated_rows_are_chunked_once(spark, monkeypatch):
+    repeated = [(7, "one text", 0)] * 4000 + [(None, "another text", 0)] * 3000 + [(8, "one text", 0), (9, "", 0)]
+    df = spark.createDataFrame(repeated, "doc_id long, text string, fp int").repartition(6)
+    chunked = spark.sparkContext.accumulator(0)
+    chunk_batch = exact._chunk_batch
+
+    def count(rows):
+        chunked.add(len(rows))
+        return chunk_batch(rows)
+
+    monkeypatch.setattr(exact, "_chunk_batch", count)
+    got = exact.exact_dedup(df).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.doc_id, r.keep_id, r.group_size, r.kept] += 1
+    assert sizes == {(7, 8, 4001, False): 4000, (8, 8, 4001, True): 1, (None, None, 3000, True): 3000, (9, 9, 1, True): 1}
+    # a lead for every PER_SALT rows of its group, and each other id with its text once
+    assert chunked.value <= 2 + 4001 // exact.PER_SALT + 1 + 3000 // exact.PER_SALT + 1
+
+
 @pytest.mark.parametrize("function", [exact.exact_dedup, simhash_groups, sub.substring_report])
 def test_empty_tables(no_docs, function):
     assert function(no_docs).collect() == []
