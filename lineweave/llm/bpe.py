@@ -7,7 +7,8 @@ rows without a pair leave.  Pieces longer than LONG bytes take a heap over a lin
 instead, whose work grows as n log n.  Decoding gathers the bytes of all ids at once.
 
 Defined results: a null text counts as empty and gives no ids; strings of special tokens are
-ordinary text; rows may repeat; an empty table gives an empty result.
+ordinary text; null ids keep their rows; very long texts are encoded whole; rows may repeat; columns
+besides doc_id and text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -244,11 +245,24 @@ class Encoder:
                 del self.known[piece]
         return out
 
+    def stream(self, texts: pa.Array) -> Iterator[bytes]:
+        """``encode_all`` over a column, about WINDOW characters at a time; null counts as empty."""
+        held: list[str] = []
+        size = 0
+        for value in texts:
+            text = value.as_py() or ""
+            if held and size + len(text) > WINDOW:
+                yield from self.encode_all(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        yield from self.encode_all(held)
+
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(path: str, pattern: str) -> Encoder:
+def shared_encoder(path: str, pattern: str) -> Encoder:
     """One per worker."""
     if (path, pattern) not in _encoders:
         _encoders[path, pattern] = Encoder(Vocabulary.load(path), pattern)
@@ -262,18 +276,9 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> D
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+        encoder = shared_encoder(path, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            encoded: list[bytes] = []
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= WINDOW):
-                    size += len(texts[j])
-                    j += 1
-                encoded += encoder.encode_all(texts[i:j])
-                i = j
+            encoded = list(encoder.stream(batch.column("text")))
             arrays = [np.frombuffer(e, dtype="<u4").astype(np.int64) for e in encoded] if ids else None
             columns = [
                 batch.column("doc_id"),

@@ -1,27 +1,34 @@
 """Packing into optimal length buckets.
 
-The token counts of all pieces (texts longer than ``max_tokens`` are cut into pieces) make a
-histogram of at most ``max_tokens`` bins.  Dynamic programming over it chooses the bucket
-boundaries that minimise the padding, sum over pieces of (boundary - length).  Inside a bucket,
-pieces are dealt into batches of ``token_budget // boundary`` pieces (one at least).
+Texts are encoded by the byte-level BPE of this package and their ids cut into pieces of at most
+``max_tokens``.  The lengths of all pieces make a histogram of that many bins.  Dynamic programming over
+it chooses the bucket boundaries that minimise the padding, sum over pieces of (boundary - length).
+Inside a bucket, pieces are dealt into batches of ``token_budget // boundary`` pieces (one at least).
 
 A piece's place in its bucket is the number of pieces before it: buckets are dealt into shards by
 a hash, the shards' sizes (a table of buckets times shards) give the offsets, and pieces are
-numbered inside their shard, so no task holds a bucket.
+numbered inside their shard, so no task holds a bucket and the pieces of a batch come to stand together.
 
-Defined results: a null or blank text has no tokens and one piece of length 0, in the first bucket;
-repeated rows are pieces each; null ids keep their rows; an empty table gives an empty result.
+``ids`` holds the token ids of a piece as little-endian unsigned 32-bit integers.  Without a tokenizer,
+``length`` measures texts (white-space words if it is not given) and there are no ids.
+
+Defined results: a null or empty text has no tokens and one piece of length 0, in the first bucket;
+very long texts are many pieces; repeated rows are pieces each; null ids keep their rows; columns besides
+doc_id and text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, expect_columns
+from .bpe import shared_encoder
+from .common import expect_columns, stored
 
 MAX_TOKENS = 2048
 BUCKETS = 16
@@ -73,28 +80,75 @@ def plan_buckets(histogram: dict[int, int], buckets: int) -> Plan:
     return Plan(boundaries[::-1], int(round(cost[m])))
 
 
+def word_pieces(docs: DataFrame, length: Column | None, max_tokens: int) -> DataFrame:
+    """(doc_id, mark, piece, n_tokens) of texts that are measured, not encoded."""
+    measured = expect_columns(docs, "doc_id", "text").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (length if length is not None else word_count(F.col("text"))).cast("long").alias("total"),
+        F.xxhash64("text").alias("mark"),
+    )
+    last = F.greatest(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / max_tokens))
+    return measured.select("doc_id", "total", "mark", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
+        "doc_id",
+        "mark",
+        F.col("piece").cast("int").alias("piece"),
+        F.least(F.lit(max_tokens).cast("long"), F.col("total") - F.col("piece") * max_tokens).alias("n_tokens"),
+    )
+
+
+#: Bytes of ids that are sent on at once.
+FLUSH = 16 << 20
+
+
+def token_pieces(docs: DataFrame, path: str, pattern: str, max_tokens: int) -> DataFrame:
+    """(doc_id, mark, piece, n_tokens, ids) of the encoded texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shared_encoder(path, pattern)
+        step = 4 * max_tokens
+        out: list[tuple[int | None, int, int, int, bytes]] = []
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            found = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(found, names=["doc_id", "mark", "piece", "n_tokens", "ids"])
+
+        for batch in batches:
+            keys = zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), strict=True)
+            for (doc_id, mark), ids in zip(keys, encoder.stream(batch.column("text")), strict=True):
+                for piece, at in enumerate(range(0, max(len(ids), 1), step)):
+                    part = ids[at : at + step]
+                    out.append((doc_id, mark, piece, len(part) // 4, part))
+                size += len(ids)
+                if size > FLUSH:
+                    yield done()
+                    size = 0
+            if out:
+                yield done()
+                size = 0
+
+    rows = expect_columns(docs, "doc_id", "text").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text"
+    )
+    return rows.mapInArrow(run, "doc_id long, mark long, piece int, n_tokens long, ids binary")
+
+
 def pack(
     docs: DataFrame,
+    tokenizer: tuple[str, str] | None = None,
     length: Column | None = None,
     max_tokens: int = MAX_TOKENS,
     buckets: int = BUCKETS,
     token_budget: int = TOKEN_BUDGET,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, first_token, n_tokens, bucket, bucket_tokens, batch, slot, padding."""
-    measured = expect_columns(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (length if length is not None else word_count(F.col("text"))).cast("long").alias("total"),
-        F.xxhash64("text").alias("mark"),
-    )
-    last = F.greatest(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / max_tokens))
-    pieces = durable(
-        measured.select("doc_id", "total", "mark", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
-            "doc_id",
-            "mark",
-            F.col("piece").cast("int").alias("piece"),
-            (F.col("piece") * max_tokens).alias("first_token"),
-            F.least(F.lit(max_tokens).cast("long"), F.col("total") - F.col("piece") * max_tokens).alias("n_tokens"),
-        )
+    """One row per piece: doc_id, piece, first_token, n_tokens, bucket, bucket_tokens, batch, slot, padding and ids.
+
+    ``tokenizer`` is a file of ranks that every machine can read, and the pattern that cuts texts.
+    """
+    pieces = stored(
+        token_pieces(docs, *tokenizer, max_tokens) if tokenizer is not None else word_pieces(docs, length, max_tokens)
     )
     # max_tokens + 1 rows at most
     histogram = {r[0]: r[1] for r in pieces.groupBy("n_tokens").count().collect()}
@@ -126,12 +180,13 @@ def pack(
         .select(
             "doc_id",
             "piece",
-            "first_token",
+            (F.col("piece").cast("long") * max_tokens).alias("first_token"),
             "n_tokens",
             "bucket",
             "bucket_tokens",
             F.floor(F.col("at") / capacity).alias("batch"),
             (F.col("at") % capacity).cast("int").alias("slot"),
             (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"),
+            *(["ids"] if tokenizer is not None else []),
         )
     )

@@ -45,8 +45,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer() -> tuple[str, str]:
+    """The ranks and the pattern of the queries' tokenizer."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +61,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe_encode(table(spark, sf_dir, "documents"), str(path), public_tokenizers.PATTERN)
+    return bpe_encode(table(spark, sf_dir, "documents"), *tokenizer())
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,23 @@ def test_packing_over_many_shards(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD", 50)
     df = spark.range(1500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 37).cast("int")).alias("text"))
     check_packing(pack(df, buckets=5, token_budget=100).collect(), {i: [i % 37] for i in range(1500)}, 2048, 100)
+
+
+def test_packing_of_tokens(docs, no_docs):
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    reference = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+    want, totals = {}, {}
+    for i, text, *_ in rows():
+        want.setdefault(i, []).append(reference.encode_ordinary(text or ""))
+        totals.setdefault(i, []).append(len(want[i][-1]))
+    found = pack(docs, (path, public_tokenizers.PATTERN), max_tokens=300, buckets=4, token_budget=2000).collect()
+    check_packing(found, totals, 300, 2000)
+    for r in found:
+        ids = np.frombuffer(r.ids, dtype="<u4").tolist()
+        assert len(ids) == r.n_tokens
+        assert any(ids == w[r.first_token : r.first_token + 300] for w in want[r.doc_id])
+    assert pack(no_docs, (path, public_tokenizers.PATTERN)).collect() == []
