@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, join_hot, stored
 
 #: Rounds grow with the logarithm of the longest chain; this many never occur.
 MAX_ROUNDS = 100
@@ -43,3 +43,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def name_components(linked: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """(node, component): the least ``name`` that ``names`` (node, name) has for a node of the component; ``linked`` is
+    (node, root)."""
+    linked = stored(linked)
+    roots = stored(linked.join(names, "node").groupBy("root").agg(F.min(name).alias("component"), F.count("*").alias("size")))
+    return join_hot(linked, roots, ["root"], "size").select("node", "component")

@@ -12,6 +12,8 @@ way instead: two fingerprints are within two bits exactly if both are within one
 point, so each is dealt to its 65 points, and a point (which holds 65 classes at most) links its
 classes to its smallest one.
 
+``near_text.near_groups`` is the form for a given similarity of texts.
+
 Defined results: a null text counts as empty; no words give fingerprint zero, linked like any
 other; null ids keep their rows and never name a component unless all ids of it are null;
 repeated rows are rows of one class; an empty table gives an empty result.
@@ -28,8 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, WINDOW, durable, expect_columns, string_bytes, text_or_empty
-from .components import connected_components
+from .common import LOWER_BYTES, WINDOW, durable, expect_columns, join_hot, stored, string_bytes, text_or_empty
+from .components import connected_components, name_components
 
 SEED = 42
 WORDS = 3
@@ -162,13 +164,12 @@ def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCK
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_key"), "text"
     )
     signed = durable(rows.mapInArrow(_sign, "doc_id long, text_key long, fp long"))
-    classes = durable(signed.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = connected_components(ring_links(classes.select("fp"), max_bits, bucket)).withColumnRenamed("node", "fp")
-    named = linked.join(classes, "fp").groupBy("root").agg(F.min("first").alias("component"))
-    labels = (
-        classes.join(linked.join(named, "root").select("fp", "component"), "fp", "left")
-        .select("fp", F.coalesce("component", "first").alias("component_id"))
+    classes = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    linked = connected_components(ring_links(classes.select("fp"), max_bits, bucket))
+    named = name_components(linked, classes.withColumnRenamed("fp", "node"), "first").withColumnRenamed("node", "fp")
+    labels = stored(
+        classes.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"), "n")
     )
-    return signed.join(labels, "fp").select(
+    return join_hot(signed, labels, ["fp"], "n").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key"
     )
