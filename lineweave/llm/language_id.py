@@ -4,11 +4,13 @@ A profile is a language's PROFILE most frequent n-grams (1 to ORDER letters, wor
 a space, n-grams never cross a word) in rank order.  A text's own list of most frequent n-grams
 is compared with each profile: the out-of-place distance sums how far each of its n-grams is
 from its rank there, PROFILE where it is missing.  The least distance wins, ties go to the
-language that sorts first.
+language that sorts first.  ``distance`` is the least distance as a share of the largest possible one, by which
+texts in none of the learned languages can be told (``is_foreign``).
 
 The score is the margin over the runner-up, (second - best) / second, from 0 to 1; 1 if only one
 language is known.  A text that is null or has no letters is ``und`` with score 0, and so is any text
-if nothing was learned.  Rows with a null language teach nothing; a null id counts as the empty
+if nothing was learned.  Very long texts are counted in pieces, with the same n-grams.  Rows with a null
+language teach nothing; a null id counts as the empty
 text when folds are dealt; rows may repeat; an empty table gives an empty result.
 """
 
@@ -20,13 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .common import expect_columns, id_remainder, mix64
 
 ORDER = 3
 PROFILE = 300
 UNKNOWN = "und"
+#: A text with FEW distinct n-grams or more that is further away than FAR is in none of the learned languages.
+FAR, FEW = 0.7, 100
 #: Characters handled at once.
 CHARS = 1 << 19
 #: N-grams of one language that a task holds before it passes them on.
@@ -49,22 +53,24 @@ def letter_table() -> np.ndarray:
     return _letters
 
 
-def _normalise(text: str) -> np.ndarray:
-    """Letters, each run of anything else as one space, with a space at both ends; empty without letters."""
+def _normalise(text: str, begins: bool = True, ends: bool = True) -> np.ndarray:
+    """Letters, each run of anything else as one space, with a space at both ends (unless the text goes on there);
+    empty without letters."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     letters = letter_table()[raw]
-    letters = np.concatenate([[np.uint32(_SPACE)], letters, [np.uint32(_SPACE)]])
+    pad = [np.uint32(_SPACE)]
+    letters = np.concatenate([pad if begins else [], letters, pad if ends else []]).astype(np.uint32)
     solid = letters != _SPACE
     keep = solid.copy()
     keep[1:] |= solid[:-1]
-    keep[0] = True
+    keep[:1] |= begins
     letters = letters[keep]
     # a leading run of spaces leaves one space before the first word
     return letters if len(letters) > 1 else letters[:0]
 
 
-def _keys(letters: np.ndarray) -> np.ndarray:
-    """40-bit keys of all n-grams."""
+def _keys(letters: np.ndarray, seen: int = 0) -> np.ndarray:
+    """40-bit keys of all n-grams but those within the first ``seen`` letters."""
     c = letters.astype(np.uint64)
     out = []
     for n in range(1, ORDER + 1):
@@ -79,6 +85,7 @@ def _keys(letters: np.ndarray) -> np.ndarray:
             inner &= letters[k : k + m] != _SPACE
         if n == 2:
             inner &= (letters[:m] != _SPACE) | (letters[1:] != _SPACE)
+        inner[: max(0, seen - n + 1)] = False
         out.append(key[inner])
     return mix64(np.concatenate(out)) >> np.uint64(24) if out else np.zeros(0, dtype=np.uint64)
 
@@ -90,16 +97,21 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[begin], np.diff(np.append(begin, len(ordered)))
 
 
-def _slices(text: str) -> Iterator[str]:
-    """Pieces of bounded size; a cut falls behind a white space, so no word is cut unless it is huge."""
-    at = 0
+def _slices(text: str) -> Iterator[tuple[str, bool, bool]]:
+    """Pieces of bounded size, and whether each begins and ends a word there.
+
+    A cut falls behind something that is no letter; where there is none, the next piece repeats the last letters that
+    n-grams across the cut need."""
+    at, begins = 0, True
     while at < len(text):
-        end = at + CHARS
+        end, ends = min(len(text), at + CHARS), True
         if end < len(text):
-            cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-            end = cut + 1 if cut > at else end
-        yield text[at:end]
-        at = end
+            raw = np.frombuffer(text[at:end].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            gaps = np.flatnonzero(letter_table()[raw] == _SPACE)
+            ends = len(gaps) > 0
+            end = at + int(gaps[-1]) + 1 if ends else end
+        yield text[at:end], begins, ends
+        at, begins = end if ends else end - (ORDER - 1), ends
 
 
 def count_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,8 +128,8 @@ def count_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         held, size = [], 0
 
     for row, text in enumerate(texts):
-        for piece in _slices(text):
-            keys = _keys(_normalise(piece))
+        for piece, begins, ends in _slices(text):
+            keys = _keys(_normalise(piece, begins, ends), 0 if begins else ORDER - 1)
             held.append(keys | np.uint64(row << 40))
             size += len(piece)
             if size >= CHARS:
@@ -199,11 +211,13 @@ class Classifier:
             for rank, key in enumerate(profiles[lang]):
                 self.ranks[np.searchsorted(self.keys, np.uint64(key)), j] = rank
 
-    def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Languages, scores, distances (NaN for ``und``) and numbers of distinct n-grams that were compared."""
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        far, sizes = np.full(len(texts), np.nan), np.zeros(len(texts), dtype=np.int64)
         rows, keys, counts = count_ngrams(texts)
         if not len(rows) or not self.langs:
-            return langs, scores
+            return langs, scores, far, sizes
         order = np.lexsort((keys, -counts, rows))
         rows, keys = rows[order], keys[order]
         begin = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
@@ -224,36 +238,47 @@ class Classifier:
             margin = np.ones(len(distance))
         for row, j, score in zip(rows[begin], best, margin, strict=True):
             langs[row], scores[row] = self.langs[j], score
-        return langs, scores
+        sizes[rows[begin]] = np.diff(np.append(begin, len(rows)))
+        far[rows[begin]] = distance.min(axis=1) / (PROFILE * sizes[rows[begin]])
+        return langs, scores, far, sizes
+
+
+def is_foreign(lang: Column, distance: Column, ngrams: Column) -> Column:
+    """Whether a text is in none of the learned languages, as far as can be told."""
+    return (lang == UNKNOWN) | F.coalesce((distance > FAR) & (ngrams >= FEW), F.lit(False))
+
+
+#: Columns that ``predict`` adds.
+PREDICTED = ("lang_pred", "score", "distance", "ngrams")
 
 
-def predict(
-    docs: DataFrame, profiles: dict[str, list[int]], into: tuple[str, str] = ("lang_pred", "score")
-) -> DataFrame:
-    """``docs`` with the two columns ``into`` (language and score); only the column ``text`` is looked at."""
+def predict(docs: DataFrame, profiles: dict[str, list[int]], into: tuple[str, ...] = PREDICTED) -> DataFrame:
+    """``docs`` with the columns ``into`` (language, score, distance, number of n-grams); only the column ``text`` is
+    looked at."""
     docs = docs.drop(*into)
     names = docs.columns
-    added = [StructField(into[0], StringType()), StructField(into[1], DoubleType())]
-    schema = StructType([*docs.schema.fields, *added])
+    types = [StringType(), DoubleType(), DoubleType(), LongType()]
+    schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(into, types, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(profiles)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             langs: list[str] = []
-            scores = [np.zeros(0)]
+            numbers: list[tuple[np.ndarray, ...]] = [(np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64))]
             i = 0
             while i < len(texts):
                 j, size = i, 0
                 while j < len(texts) and (j == i or size + len(texts[j]) <= CHARS):
                     size += len(texts[j])
                     j += 1
-                found, values = classify(texts[i:j])
+                found, *values = classify(texts[i:j])
                 langs += found
-                scores.append(values)
+                numbers.append(tuple(values))
                 i = j
+            scores, far, sizes = (np.concatenate(x) for x in zip(*numbers, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores))],
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(far, from_pandas=True), pa.array(sizes)],
                 names=[*names, *into],
             )
 
@@ -269,5 +294,5 @@ def language_id(docs: DataFrame) -> DataFrame:
     rows = expect_columns(docs, "doc_id", "text", "lang")
     profiles = learn_profiles(rows.where(~held_out()))
     return predict(rows.select("doc_id", "text"), profiles).select(
-        F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "lang_pred", "score"
+        F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), *PREDICTED
     )

@@ -77,8 +77,58 @@ def plain_ngrams(text):
 def test_ngrams(monkeypatch):
     for text in ("Hello, World! été", "", "12", "a b", "İstanbul ß x", " lead"):
         assert sorted(lang.count_ngrams([text])[2]) == sorted(plain_ngrams(text).values())
-    monkeypatch.setattr(lang, "CHARS", 7)
-    assert sorted(lang.count_ngrams(["ab cd ef gh ij kl ab cd"])[2]) == sorted(plain_ngrams("ab cd ef gh ij kl ab cd").values())
+    for size in (7, 8, 9):
+        monkeypatch.setattr(lang, "CHARS", size)
+        for text in ("ab cd ef gh ij kl ab cd", "abcdefghijklmnopqrstuvwxyzabcd" * 3, "x abcdefghij1klmnopqrstuv, wxyzabcde", "abcdefg hijklmno12345678901"):
+            assert sorted(lang.count_ngrams([text])[2]) == sorted(plain_ngrams(text).values()), (size, text)
+
+
+def ranked(counts, keys):
+    """N-grams in rank order; ties go by their keys, as in the operator."""
+    order = sorted(counts, key=lambda g: (-counts[g], keys[g]))
+    return {g: r for r, g in enumerate(order[: lang.PROFILE])}
+
+
+def test_predictions_are_those_of_the_definition(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    data = docs.collect()
+    counts = {r.doc_id: plain_ngrams(r.text or "") for r in data}
+    every = set().union(*counts.values())
+    keys = {}
+    for n in (1, 2, 3):
+        for g in (g for g in every if len(g) == n):
+            letters = np.array([ord(c) for c in g], dtype=np.uint64)
+            raw = sum(int(c) << 20 * k for k, c in enumerate(letters)) | n << 61
+            keys[g] = int(lang.mix64(np.array([raw], dtype=np.uint64))[0]) >> 24
+    teach = {}
+    for r in data:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            teach.setdefault(r.lang, Counter()).update(counts[r.doc_id])
+    profiles = {name: ranked(c, keys) for name, c in teach.items()}
+    for r in lang.language_id(docs).collect():
+        own = ranked(counts[r.doc_id], keys)
+        if not own:
+            assert (r.lang_pred, r.score, r.distance) == ("und", 0.0, None)
+            continue
+        apart = {n: sum(abs(p[g] - k) if g in p else lang.PROFILE for g, k in own.items()) for n, p in profiles.items()}
+        first, second = sorted(apart.values())[:2]
+        assert r.lang_pred == min(apart, key=lambda n: (apart[n], n))
+        assert r.score == pytest.approx((second - first) / max(second, 1))
+        assert r.distance == pytest.approx(first / lang.PROFILE / len(own))
+        assert r.ngrams == len(own)
+
+
+def test_what_is_in_no_learned_language_is_foreign(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = lang.learn_profiles(docs)
+    rng = random.Random(5)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n)) for n in (100, 1000, 9000)]
+    noise += ["Широка страна моя родная, много в ней лесов, полей и рек, я другой такой страны не знаю, где так вольно дышит человек"]
+    rows_ = [(i, t) for i, t in enumerate([*noise, "short", "zq"])]
+    verdict = lang.is_foreign(*(F.col(c) for c in ("lang_pred", "distance", "ngrams")))
+    got = lang.predict(spark.createDataFrame(rows_, "doc_id long, text string"), profiles).where(verdict).collect()
+    assert {r.doc_id for r in got} == set(range(4))
+    assert lang.predict(docs, profiles).where(verdict & (F.col("lang_pred") != "und")).count() == 0
 
 
 def test_language_id_is_right_on_held_out_rows(spark):
