@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import expect_columns, join_hot, marked_rows, stored, text_or_empty
@@ -35,8 +35,8 @@ from .common import expect_columns, join_hot, marked_rows, stored, text_or_empty
 #: What the registered query and the pipeline spare: stock phrases and license lines of clean documents.
 SPARED_BELOW = 20
 SHORT = 3
-LONG = 24
-CONTENT = 4
+LONG = 64
+CONTENT = 8
 NULL_ID = -(1 << 63)
 
 _SPACE, _CAPITAL, _END, _BREAK, _WIDE = 1, 2, 4, 8, 16
@@ -223,8 +223,8 @@ def _cutter(min_words: int, extra: list[str]):
 
 
 def later_occurrences(rows: DataFrame, min_words: int) -> DataFrame:
-    """(_id, _key, repeats) of the texts of ``rows`` (_id, _key, _text) with later occurrences of ``min_words`` words or
-    more in all; repeats: (unit, source) of each, source being the document of the first occurrence."""
+    """(_id, _key, repeats) of the texts of ``rows`` (_id, _key, _text) with runs of later occurrences of ``min_words``
+    words or more; repeats: (unit, source, words) of each, source being the document of the first occurrence."""
     found = stored(
         rows.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), F.col("_text").alias("text")).mapInArrow(
             _emit, _UNITS
@@ -238,13 +238,27 @@ def later_occurrences(rows: DataFrame, min_words: int) -> DataFrame:
         .select("digest", "tail", F.col("first.doc_id").alias("source"), F.col("first.text_key").alias("key"),
                 F.col("first.unit").alias("at"), "n")
     )
-    return (
+    later = (
         join_hot(found, firsts, ["digest", "tail"], "n")
         .where((F.col("doc_id") != F.col("source")) | (F.col("text_key") != F.col("key")) | (F.col("unit") != F.col("at")))
         .groupBy("doc_id", "text_key")
-        .agg(F.collect_set(F.struct("unit", "source")).alias("repeats"), F.sum("words").alias("n"))
-        .where(F.col("n") >= min_words)
-        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "repeats")
+        .agg(F.array_sort(F.collect_set(F.struct("unit", "source", F.col("words").cast("long").alias("words")))).alias("repeats"))
+    )
+    return later.where(_longest_run(F.col("repeats")) >= min_words).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "repeats"
+    )
+
+
+def _longest_run(repeats: Column) -> Column:
+    """Most words of consecutive units in an array of (unit, ..., words) in order."""
+    zero = F.lit(0).cast("long")
+
+    def step(state: Column, x: Column) -> Column:
+        run = x["words"] + F.when(x["unit"] == state["last"] + 1, state["run"]).otherwise(zero)
+        return F.struct(x["unit"].alias("last"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+    return F.aggregate(
+        repeats, F.struct(F.lit(-2).alias("last"), zero.alias("run"), zero.alias("best")), step, lambda state: state["best"]
     )
 
 
