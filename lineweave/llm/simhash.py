@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, WINDOW, durable, expect_columns, join_hot, stored, string_bytes, text_or_empty
 from .components import connected_components, name_components
+from .near_text import near_groups
+
+__all__ = ["near_groups", "ring_links", "simhash", "simhash_groups"]
 
 SEED = 42
 WORDS = 3

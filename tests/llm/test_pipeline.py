@@ -1,21 +1,26 @@
+import random
 import re
 from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from lineweave.llm import queries as llm
 from lineweave.llm import substring_dedup as sub
 
 from .conftest import rows
-from .test_dedup import groups_of, plain_simhash, plain_substring
+from .test_dedup import plain_substring
+from .test_near_text import plain_components
 from .test_search_and_packing import check_packing
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
 def plain_stages(data):
-    """(id, text) that is left after each stage but the last, by brute force; data without null or repeated ids."""
+    """(id, text) that is left after each stage but the last, by brute force; data without null or repeated ids.  Every
+    text with letters of this sample is in a learned language (see test_what_is_in_no_learned_language_is_foreign)."""
     data = [(i, t) for i, t in data if any(c.isalpha() for c in t or "")]
     yield data
     last = {}
@@ -23,12 +28,7 @@ def plain_stages(data):
         last[t] = max(last.get(t, i), i)
     data = [(i, t) for i, t in data if last[t] == i]
     yield data
-    prints = {i: plain_simhash(t) for i, t in data}
-    roots = groups_of(set(prints.values()))
-    least = {}
-    for i, f in prints.items():
-        least[roots[f]] = min(least.get(roots[f], i), i)
-    data = [(i, t) for i, t in data if least[roots[prints[i]]] == i]
+    data = [(i, t) for (i, t), c in zip(data, plain_components(data), strict=True) if c == i]
     yield data
     data = [(i, t) for i, t, cut in plain_substring(data) if t.strip() or not cut]
     yield data
@@ -43,9 +43,27 @@ def test_pipeline_against_brute_force(spark):
         docs = stage(spark, docs, SF_DIR).cache()
         assert docs.columns == names
         assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted(want), name
-    totals = {i: [len(t.encode().split())] for i, t in want}
+    from tiktoken import Encoding
+    from tiktoken.load import load_tiktoken_bpe
+
+    path, pattern = llm.tokenizer()
+    reference = Encoding("t", pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+    ids = {i: reference.encode_ordinary(t) for i, t in want}
     found = pipeline.run(spark, SF_DIR).collect()
-    check_packing(found, totals, 2048, 16384)
+    check_packing(found, {i: [len(x)] for i, x in ids.items()}, 2048, 16384)
+    for r in found:
+        assert np.frombuffer(r.ids, dtype="<u4").tolist() == ids[r.doc_id][r.first_token : r.first_token + 2048]
+
+
+def test_foreign_documents_go_and_null_languages_are_filled(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(150).cache()
+    noise = " ".join("".join(rng.choice("qxzjkvwy") for _ in range(6)) for _ in range(90))
+    more = spark.createDataFrame([(10**6, noise, "en", "s", 1), (10**6 + 1, docs.first().text, None, "s", 1)], docs.schema)
+    left = {r.doc_id: r for r in pipeline.language_stage(spark, docs.unionByName(more), "").collect()}
+    assert 10**6 not in left
+    assert left[10**6 + 1].lang == docs.first().lang
+    assert len(left) == docs.where(F.col("text").rlike(r"\p{L}")).count() + 1
 
 
 def test_stages_over_odd_rows(spark, docs, no_docs):
