@@ -1,24 +1,30 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class).
+P(word | history) = P(class | history) * P(subclass | class, history) * P(word | class, subclass).
 
 * Classes: each of the SINGLES most frequent words and the end of the text are classes of their
-  own; all other words, unknown ones included, fall into GROUPS classes by a hash of their ending.
+  own; all other words, unknown ones included, fall into GROUPS classes by a hash of their ending, and in each of
+  these into SUBS subclasses by a hash of the word.
 * P(class | history) is a softmax over hashed features of the history: the bigram context (last
   word), the trigram context (last two), and the skip features (word before the last, and the one
-  before that).  Its weights (FEATURES * BUCKETS rows of CLASSES numbers) are trained by
-  distributed updates: the training texts are dealt into ROUNDS parts, and in each round every task
-  sums observed and expected class counts per feature over its texts (the gradient is their
-  difference); the sums meet in a few blocks, and the driver takes one step
-  RATE * log(observed / expected), the damped, preconditioned gradient step of iterative scaling.
-* P(word | class) is estimated from all training counts with an absolute discount per class, whose
+  before that).  P(subclass | class, history) is one over features of the class with the bigram context and with the
+  first skip context.  Their weights grow with the corpus: ``buckets`` for each feature, a power of two near the number of
+  training tokens over TOKENS_A_BUCKET, from LEAST to MOST (MOST is reached at about 2 GB of text: every task holds
+  the weights, so they must end somewhere; the counts below do not).
+* The weights are trained by distributed updates: the training texts are dealt into ROUNDS parts, and in each round
+  every task sums observed and expected class counts per feature over its texts (the gradient is their
+  difference); the sums meet in a tree in double precision, and the step is
+  RATE * log(observed / expected), the damped, preconditioned gradient step of iterative scaling.  A text takes part in
+  one round; all texts take part in the counts.
+* P(word | class, subclass) is estimated from all training counts with an absolute discount per class, whose
   mass goes to unknown words; so the model is a distribution over the known words and "unknown".
 
 The counts of the TOP most frequent words go to every task (a table of fixed size); rarer words
 of a text are joined with the whole table of counts.  Word identity is a 64-bit hash.
 
 Defined results: a null text counts as empty (one token, the end); a null id counts as the empty
-text when folds are dealt; repeated rows get equal results each; without training texts every word
+text when folds are dealt; repeated rows get equal results each; very long texts are scored in windows of whole rows; ties
+in frequency go to the smaller hash; other columns are ignored; without training texts every word
 is unknown and N is 0; an empty table gives an empty result.
 """
 
@@ -30,18 +36,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, durable, expect_columns, id_remainder, mix64, row_windows, string_bytes, token_spans, word_hashes
+from .common import LOWER_BYTES, expect_columns, id_remainder, mix64, row_windows, stored, string_bytes, token_spans, word_hashes
 
 SINGLES = 31
 GROUPS = 32
 CLASSES = SINGLES + GROUPS + 1
 END_CLASS = CLASSES - 1
 END = np.uint64(0x5DEECE66D2545F49)
+SUBS = 32
+#: Features of the class: contexts of ``contexts``; those of the subclass, with that many buckets times SUB_BUCKETS.
 FEATURES = 4
-BUCKETS = 1024
+SUB_FEATURES = (0, 2)
+SUB_BUCKETS = 4
+LEAST, MOST = 1 << 10, 1 << 14
+TOKENS_A_BUCKET = 16_384
 ROUNDS = 4
 RATE = 0.35
 SMOOTH = 2.0
@@ -50,6 +62,8 @@ FOLDS, HELD = 7, 2
 #: Tokens whose class scores are computed at once.
 STEP = 8192
 BLOCKS = 16
+#: Training tokens of a task of the gradient, if there are more than the cores take at once.
+TOKENS_A_TASK = 1 << 28
 NULL_ID = -(1 << 63)
 _LOWER = np.frombuffer(LOWER_BYTES, dtype=np.uint8)
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -78,8 +92,8 @@ def tokenize(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
     return Tokens(hashes, groups, first[:-1] + np.arange(n))
 
 
-def features(tokens: Tokens) -> np.ndarray:
-    """(FEATURES, tokens): rows of the weight table that are active at each token."""
+def contexts(tokens: Tokens) -> list[np.ndarray]:
+    """The FEATURES contexts of every token: last word, last two, word before the last, the one before that."""
     h, first = tokens.hashes, tokens.first
     size = np.diff(np.append(first, len(h)))
     back = []
@@ -89,13 +103,31 @@ def features(tokens: Tokens) -> np.ndarray:
         for k in range(distance):
             old[(first + k)[size > k]] = np.uint64(distance)
         back.append(old)
-    contexts = [back[0], back[1] * _SALTS[1] + back[0], back[1], back[2]]
-    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
+    return [back[0], back[1] * _SALTS[1] + back[0], back[1], back[2]]
+
+
+def features(context: list[np.ndarray], buckets: int) -> np.ndarray:
+    """(FEATURES, tokens): rows of the weights of the classes that are active at each token."""
+    shift = np.uint64(65 - buckets.bit_length())
+    return np.stack(
+        [((mix64(c * s) >> shift) + np.uint64(k * buckets)).astype(np.int64) for k, (c, s) in enumerate(zip(context, _SALTS, strict=True))]
+    )
+
+
+def sub_features(context: list[np.ndarray], classes: np.ndarray, buckets: int) -> np.ndarray:
+    """The same for the weights of the subclasses, given the classes."""
+    buckets *= SUB_BUCKETS
+    shift = np.uint64(65 - buckets.bit_length())
+    own = mix64(classes.astype(np.uint64) + np.uint64(1))
     return np.stack(
-        [((mix64(c * s) >> shift) + np.uint64(k * BUCKETS)).astype(np.int64) for k, (c, s) in enumerate(zip(contexts, _SALTS, strict=True))]
+        [((mix64(context[c] * _SALTS[c] ^ own) >> shift) + np.uint64(k * buckets)).astype(np.int64) for k, c in enumerate(SUB_FEATURES)]
     )
 
 
+def subclass(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(20)) % np.uint64(SUBS)).astype(np.int64)
+
+
 class Index:
     """An open hash table from 64-bit hashes to 0..n-1."""
 
@@ -133,7 +165,10 @@ class Index:
 
 @dataclass
 class Vocabulary:
-    """What every task knows of the counts; all of bounded size."""
+    """What every task knows of the counts; all of bounded size.
+
+    A leaf is a class, or a subclass of a spelled one: ``leaf_*`` have SINGLES single classes, GROUPS * SUBS
+    subclasses and the end."""
 
     tokens: int
     types: int
@@ -142,10 +177,15 @@ class Vocabulary:
     top_counts: np.ndarray
     top_groups: np.ndarray
     class_tokens: np.ndarray
-    class_types: np.ndarray
+    leaf_tokens: np.ndarray
+    leaf_types: np.ndarray
     discount: np.ndarray
     end_count: int
 
+    @property
+    def buckets(self) -> int:
+        return min(MOST, max(LEAST, 1 << (self.tokens // TOKENS_A_BUCKET).bit_length()))
+
     def classes(self, tokens: Tokens, index: Index) -> np.ndarray:
         """Class of every token; ``index`` is over ``singles``."""
         single = index.find(tokens.hashes)
@@ -156,14 +196,27 @@ class Vocabulary:
         return np.log10((counts + 1) / (self.tokens + self.types + 1))
 
     def unknown(self) -> np.ndarray:
-        """log10 P(unknown | class)."""
-        seen = np.maximum(self.class_tokens, 1)
-        share = np.where(self.class_tokens > 0, self.discount * self.class_types / seen, 1.0)
+        """log10 P(unknown | leaf)."""
+        seen = np.maximum(self.leaf_tokens, 1)
+        share = np.where(self.leaf_tokens > 0, self.discount[class_of_leaf()] * self.leaf_types / seen, 1.0)
         return np.log10(np.maximum(share, 1e-12))
 
-    def known(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """log10 P(word | class) of known words."""
-        return np.log10(np.maximum(counts - self.discount[classes], 1e-3) / np.maximum(self.class_tokens[classes], 1))
+    def known(self, counts: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """log10 P(word | leaf) of known words."""
+        left = np.maximum(counts - self.discount[class_of_leaf()[leaves]], 1e-3)
+        return np.log10(left / np.maximum(self.leaf_tokens[leaves], 1))
+
+
+LEAVES = SINGLES + GROUPS * SUBS + 1
+
+
+def leaves(classes: np.ndarray, subs: np.ndarray) -> np.ndarray:
+    spelled = (classes >= SINGLES) & (classes != END_CLASS)
+    return np.where(spelled, SINGLES + (classes - SINGLES) * SUBS + subs, np.where(classes == END_CLASS, LEAVES - 1, classes))
+
+
+def class_of_leaf() -> np.ndarray:
+    return np.concatenate([np.arange(SINGLES), SINGLES + np.repeat(np.arange(GROUPS), SUBS), [END_CLASS]])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,114 +274,167 @@ def summarise(counts: DataFrame) -> Vocabulary:
     top_h = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
     top_n, top_g = top.column("n").to_numpy().astype(np.int64), top.column("g").to_numpy().astype(np.int64)
     singles = top_h[:SINGLES].copy()
-    class_tokens, class_types = np.zeros(CLASSES), np.zeros(CLASSES)
+    sub = F.pmod(F.shiftrightunsigned("h", 20), F.lit(SUBS)).cast("int")
+    leaf_tokens, leaf_types = np.zeros(LEAVES), np.zeros(LEAVES)
     once, twice = np.zeros(CLASSES), np.zeros(CLASSES)
-    rows = counts.groupBy("g").agg(
+    rows = counts.groupBy("g", sub.alias("s")).agg(
         F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
     )
-    for g, n, v, n1, n2 in rows.collect():  # a row per group
+    for g, sub_, n, v, n1, n2 in rows.collect():  # a row per leaf
         c = END_CLASS if g < 0 else SINGLES + g
-        class_tokens[c], class_types[c], once[c], twice[c] = n, v, n1, n2
-    tokens, types, end = int(class_tokens.sum()), int(class_types.sum()), int(class_tokens[END_CLASS])
+        leaf = LEAVES - 1 if g < 0 else SINGLES + g * SUBS + sub_
+        leaf_tokens[leaf], leaf_types[leaf] = n, v
+        once[c] += n1
+        twice[c] += n2
+    tokens, types, end = int(leaf_tokens.sum()), int(leaf_types.sum()), int(leaf_tokens[LEAVES - 1])
+    subs = subclass(singles)
     for i in range(len(singles)):
         c = SINGLES + top_g[i]
-        class_tokens[c] -= top_n[i]
-        class_types[c] -= 1
+        leaf = SINGLES + top_g[i] * SUBS + subs[i]
+        leaf_tokens[leaf] -= top_n[i]
+        leaf_types[leaf] -= 1
         once[c] -= top_n[i] == 1
         twice[c] -= top_n[i] == 2
-        class_tokens[i], class_types[i] = top_n[i], 1
+        leaf_tokens[i], leaf_types[i] = top_n[i], 1
     discount = np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.95)
     discount[: len(singles)] = 0.0
     discount[END_CLASS] = 0.0
-    return Vocabulary(tokens, types, singles, top_h, top_n, top_g, class_tokens, class_types, discount, end)
+    class_tokens = np.bincount(class_of_leaf(), weights=leaf_tokens, minlength=CLASSES)
+    return Vocabulary(tokens, types, singles, top_h, top_n, top_g, class_tokens, leaf_tokens, leaf_types, discount, end)
+
+
+def softmax(logits: np.ndarray) -> np.ndarray:
+    p = np.exp(logits)
+    p /= p.sum(axis=1, keepdims=True)
+    return p
 
 
 @dataclass
 class Weights:
+    """Biases and weights of the classes, and of the subclasses (``sub_bias`` has a row per spelled class)."""
+
+    buckets: int
     bias: np.ndarray
     table: np.ndarray
+    sub_bias: np.ndarray
+    sub_table: np.ndarray
 
     @classmethod
     def start(cls, vocabulary: Vocabulary) -> Weights:
-        counts = vocabulary.class_tokens
-        bias = np.log((counts + 0.1) / (counts.sum() + 0.1 * CLASSES)).astype(np.float32)
-        return cls(bias, np.zeros((FEATURES * BUCKETS, CLASSES), dtype=np.float32))
+        counts, n = vocabulary.class_tokens, vocabulary.buckets
+        inner = vocabulary.leaf_tokens[SINGLES:-1].reshape(GROUPS, SUBS)
+        return cls(
+            n,
+            np.log((counts + 0.1) / (counts.sum() + 0.1 * CLASSES)).astype(np.float32),
+            np.zeros((FEATURES * n, CLASSES), dtype=np.float32),
+            np.log((inner + 0.1) / (inner.sum(axis=1, keepdims=True) + 0.1 * SUBS)).astype(np.float32),
+            np.zeros((len(SUB_FEATURES) * SUB_BUCKETS * n, SUBS), dtype=np.float32),
+        )
 
     def logits(self, active: np.ndarray) -> np.ndarray:
         out = self.table[active[0]]
-        for k in range(1, FEATURES):
-            out += self.table[active[k]]
+        for rows in active[1:]:
+            out += self.table[rows]
         out += self.bias
         out -= out.max(axis=1, keepdims=True)
         return out
 
-    def step(self, observed: np.ndarray, expected: np.ndarray) -> None:
-        prior = SMOOTH * np.exp(self.bias.astype(np.float64))
-        self.table += (RATE * np.log((observed + prior) / (expected + prior))).astype(np.float32)
+    def sub_logits(self, active: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        out = self.sub_table[active[0]]
+        for rows in active[1:]:
+            out += self.sub_table[rows]
+        out += self.sub_bias[classes - SINGLES]
+        out -= out.max(axis=1, keepdims=True)
+        return out
 
 
-def _gradient(vocabulary: Vocabulary, weights: Weights, branches: int):
+def _tally(sums: np.ndarray, active: np.ndarray, p: np.ndarray) -> None:
+    """Add the rows of ``p`` to the rows of ``sums`` that are active, feature by feature."""
+    for row in active:
+        order = np.argsort(row, kind="stable")
+        row = row[order]
+        begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        sums[row[begin]] += np.add.reduceat(p[order], begin, axis=0)
+
+
+def _gradient(vocabulary: Vocabulary, held: Broadcast, branches: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights: Weights = held.value
         index = Index(vocabulary.singles)
-        observed = np.zeros((FEATURES * BUCKETS, CLASSES))
-        expected = np.zeros_like(observed)
-        flat = observed.ravel()
+        sums = [(np.zeros(t.shape), np.zeros(t.shape)) for t in (weights.table, weights.sub_table)]
         any_ = False
         for batch in batches:
             buf, offsets = string_bytes(batch.column("text"))
             for a, b in row_windows(offsets):
                 any_ = True
                 tokens = tokenize(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                active, classes = features(tokens), vocabulary.classes(tokens, index)
-                for k in range(FEATURES):
-                    flat += np.bincount(active[k] * CLASSES + classes, minlength=len(flat))
+                context, classes = contexts(tokens), vocabulary.classes(tokens, index)
+                active = features(context, weights.buckets)
+                inner = np.flatnonzero((classes >= SINGLES) & (classes != END_CLASS))
+                subs, theirs = subclass(tokens.hashes[inner]), classes[inner]
+                sub_active = sub_features([c[inner] for c in context], theirs, weights.buckets)
+                for (observed, _), rows, targets in ((sums[0], active, classes), (sums[1], sub_active, subs)):
+                    for row in rows:
+                        cells, times = np.unique(row * observed.shape[1] + targets, return_counts=True)
+                        observed.reshape(-1)[cells] += times
                 for i in range(0, len(classes), STEP):
                     here = active[:, i : i + STEP]
-                    p = np.exp(weights.logits(here))
-                    p /= p.sum(axis=1, keepdims=True)
-                    for k in range(FEATURES):
-                        row = (here[k] - k * BUCKETS).astype(np.uint16)
-                        order = np.argsort(row, kind="stable")
-                        row = row[order]
-                        begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                        expected[k * BUCKETS + row[begin]] += np.add.reduceat(p[order], begin, axis=0)
+                    _tally(sums[0][1], here, softmax(weights.logits(here)))
+                for i in range(0, len(inner), STEP):
+                    here = sub_active[:, i : i + STEP]
+                    _tally(sums[1][1], here, softmax(weights.sub_logits(here, theirs[i : i + STEP])))
         if any_:
-            size = FEATURES * BUCKETS // BLOCKS
             branch = TaskContext.get().partitionId() % branches
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([branch] * BLOCKS, pa.int32()),
-                    pa.array(list(range(BLOCKS)), pa.int32()),
-                    *[
-                        pa.array([m[i * size : (i + 1) * size].astype(np.float32).tobytes() for i in range(BLOCKS)], pa.binary())
-                        for m in (observed, expected)
-                    ],
-                ],
-                names=["branch", "block", "observed", "expected"],
-            )
+            for number, (observed, expected) in enumerate(sums):
+                for block, (o, e) in enumerate(zip(np.split(observed, BLOCKS), np.split(expected, BLOCKS), strict=True)):
+                    yield _block_batch([(branch, number * BLOCKS + block, o.tobytes(), e.tobytes())])
 
     return run
 
 
-def _add_up(branches: bool):
-    """Sums of the blocks, one after another: of each branch, or of all."""
+_BLOCK = "branch int, block int, observed binary, expected binary"
+
+
+def _block_batch(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays(columns, names=["branch", "block", "observed", "expected"])
+
+
+def _sums_of(batches: Iterator[pa.RecordBatch], branches: bool) -> dict[tuple[int, int], list[np.ndarray]]:
+    sums: dict[tuple[int, int], list[np.ndarray]] = {}
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("branch", "block", "observed", "expected"))
+        for branch, block, *parts in zip(*columns, strict=True):
+            key = (branch if branches else 0, block)
+            values = [np.frombuffer(p, dtype=np.float64) for p in parts]
+            if key in sums:
+                for old, new in zip(sums[key], values, strict=True):
+                    old += new
+            else:
+                sums[key] = [v.copy() for v in values]
+    return sums
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks of a branch."""
+    for (branch, block), (observed, expected) in _sums_of(batches, branches=True).items():
+        yield _block_batch([(branch, block, observed.tobytes(), expected.tobytes())])
+
+
+def _steps(held: Broadcast):
+    """The steps of the weights of each block, from the sums over all branches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], list[np.ndarray]] = {}
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("branch", "block", "observed", "expected"))
-            for branch, block, *parts in zip(*columns, strict=True):
-                key = (branch if branches else 0, block)
-                values = [np.frombuffer(p, dtype=np.float32).astype(np.float64) for p in parts]
-                old = sums.get(key)
-                sums[key] = values if old is None else [x + y for x, y in zip(old, values, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *[pa.array([k[i] for k in sums], pa.int32()) for i in range(2)],
-                *[pa.array([v[i].astype(np.float32).tobytes() for v in sums.values()], pa.binary()) for i in range(2)],
-            ],
-            names=["branch", "block", "observed", "expected"],
-        )
+        weights: Weights = held.value
+        flat = np.exp(weights.bias.astype(np.float64))
+        for (_, block), (observed, expected) in _sums_of(batches, branches=False).items():
+            prior = SMOOTH * (flat if block < BLOCKS else np.full(SUBS, 1 / SUBS))
+            observed, expected = observed.reshape(-1, len(prior)), expected.reshape(-1, len(prior))
+            step = RATE * np.log((observed + prior) / (expected + prior))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([step.astype(np.float32).tobytes()], pa.binary())], names=["block", "step"]
+            )
 
     return run
 
@@ -336,39 +442,42 @@ def _add_up(branches: bool):
 def train_weights(train: DataFrame, vocabulary: Vocabulary, part: Column) -> Weights:
     """ROUNDS distributed updates over the texts of ``train``; ``part`` deals them out, 0 .. ROUNDS - 1."""
     weights = Weights.start(vocabulary)
-    branches = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = "branch int, block int, observed binary, expected binary"
+    context = train.sparkSession.sparkContext
+    # a task ships sums of the size of the weights, so there are as many tasks as cores, or one for so many tokens
+    tasks = max(context.defaultParallelism, -(-vocabulary.tokens // TOKENS_A_TASK))
+    branches = max(1, int(tasks**0.5))
     for r in range(ROUNDS):
-        sums = (
+        held = context.broadcast(weights)
+        steps = (
             train.where(part == r)
             .select("text")
-            .mapInArrow(_gradient(vocabulary, weights, branches), blocks)
+            .coalesce(tasks)
+            .mapInArrow(_gradient(vocabulary, held, branches), _BLOCK)
             # a tree: the tasks' sums meet in branches first, the branches' then in the blocks
-            .repartition("branch")
-            .mapInArrow(_add_up(branches=True), blocks)
-            .repartition(BLOCKS, "block")
-            .mapInArrow(_add_up(branches=False), blocks)
-            .collect()  # BLOCKS rows: the size of the weights
+            .repartition(branches * 4, "branch", F.col("block") % 4)
+            .mapInArrow(_add_up, _BLOCK)
+            .repartition(2 * BLOCKS, "block")
+            .mapInArrow(_steps(held), "block int, step binary")
+            .collect()  # the size of the weights
         )
-        if sums:
-            sums.sort(key=lambda s: s["block"])
-            weights.step(*(
-                np.concatenate([np.frombuffer(s[c], dtype=np.float32) for s in sums]).reshape(-1, CLASSES).astype(np.float64)
-                for c in ("observed", "expected")
-            ))
+        for row in steps:
+            flat = (weights.table if row["block"] < BLOCKS else weights.sub_table).reshape(BLOCKS, -1)
+            flat[row["block"] % BLOCKS] += np.frombuffer(row["step"], dtype=np.float32)
+        held.unpersist()
     return weights
 
 
-_SCORES = "doc_id long, text_key long, h long, g int, n long, rows long, n_tokens long, n_known long, base double, score double"
+_SCORES = "doc_id long, text_key long, h long, leaf int, n long, rows long, n_tokens long, n_known long, base double, score double"
 
 
-def _score(vocabulary: Vocabulary, weights: Weights):
+def _score(known_to_all: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, weights = known_to_all.value
         index = Index(vocabulary.top)
         classes_of = SINGLES + vocabulary.top_groups
         classes_of[: len(vocabulary.singles)] = np.arange(len(vocabulary.singles))
         # an entry more each: words that are not in the table, which are settled by the join
-        within = np.append(vocabulary.known(vocabulary.top_counts, classes_of), 0.0)
+        within = np.append(vocabulary.known(vocabulary.top_counts, leaves(classes_of, subclass(vocabulary.top))), 0.0)
         base = np.append(vocabulary.base(vocabulary.top_counts), 0.0)
         classes_of = np.append(classes_of, 0)
         end_base = float(vocabulary.base(np.array([vocabulary.end_count]))[0])
@@ -377,7 +486,8 @@ def _score(vocabulary: Vocabulary, weights: Weights):
             buf, offsets = string_bytes(batch.column("text"))
             for a, b in row_windows(offsets):
                 tokens = tokenize(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                active = features(tokens)
+                context = contexts(tokens)
+                active = features(context, weights.buckets)
                 ends = tokens.groups < 0
                 found = index.find(tokens.hashes)
                 found[ends] = -1
@@ -388,6 +498,13 @@ def _score(vocabulary: Vocabulary, weights: Weights):
                     logits = weights.logits(active[:, i : i + STEP])
                     own = logits[np.arange(len(logits)), classes[i : i + STEP]]
                     score[i : i + STEP] = own - np.log(np.exp(logits).sum(axis=1))
+                inner = np.flatnonzero((classes >= SINGLES) & (classes != END_CLASS))
+                theirs, subs = classes[inner], subclass(tokens.hashes[inner])
+                sub_active = sub_features([c[inner] for c in context], theirs, weights.buckets)
+                for i in range(0, len(inner), STEP):
+                    logits = weights.sub_logits(sub_active[:, i : i + STEP], theirs[i : i + STEP])
+                    own = logits[np.arange(len(logits)), subs[i : i + STEP]]
+                    score[inner[i : i + STEP]] += own - np.log(np.exp(logits).sum(axis=1))
                 score /= np.log(10)
                 score += within[found]
                 bases = base[found]
@@ -408,8 +525,9 @@ def _score(vocabulary: Vocabulary, weights: Weights):
                 columns = [
                     np.concatenate([ids[a:b], ids[a:b][doc[begin]]]),
                     np.concatenate([keys[a:b], keys[a:b][doc[begin]]]),
-                    np.concatenate([keys[a:b], h[begin].view(np.int64)]),
-                    np.concatenate([np.full(n, -1), tokens.groups[rare[begin]]]).astype(np.int32),
+                    # sums of texts join with nothing; equal texts are dealt by their ids
+                    np.concatenate([keys[a:b] ^ (ids[a:b] * 0x9E3779B97F4A7C1 + 1), h[begin].view(np.int64)]),
+                    np.concatenate([np.full(n, -1), leaves(classes[rare[begin]], subclass(h[begin]))]).astype(np.int32),
                     np.concatenate([zero(n), counts]),
                     np.concatenate([np.ones(n, dtype=np.int64), zero(m)]),
                     np.concatenate([np.diff(np.append(first, len(found))), zero(m)]),
@@ -419,7 +537,7 @@ def _score(vocabulary: Vocabulary, weights: Weights):
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c) for c in columns],
-                    names=["doc_id", "text_key", "h", "g", "n", "rows", "n_tokens", "n_known", "base", "score"],
+                    names=["doc_id", "text_key", "h", "leaf", "n", "rows", "n_tokens", "n_known", "base", "score"],
                 )
 
     return run
@@ -432,25 +550,32 @@ def lm_score(docs: DataFrame, held_out: Column | None = None, part: Column | Non
     part = part if part is not None else id_remainder("doc_id", FOLDS * ROUNDS).cast("long") % ROUNDS
     rows = expect_columns(docs, "doc_id", "text")
     train = rows.where(~held_out).withColumn("part", part)
-    counts = durable(count_words(train))
+    counts = stored(count_words(train))
     vocabulary = summarise(counts)
     weights = train_weights(train, vocabulary, F.col("part"))
+    known_to_all = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
     emitted = rows.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
         "text",
-    ).mapInArrow(_score(vocabulary, weights), _SCORES)
+    ).mapInArrow(_score(known_to_all), _SCORES)
     rarer = counts.where("g >= 0").select("h", F.col("n").alias("c"))
-    per_class = lambda values: F.array(*[F.lit(float(v)) for v in values[SINGLES : SINGLES + GROUPS]])
-    pick = lambda values: F.get(per_class(values), F.col("g"))
+    shares = docs.sparkSession.createDataFrame(
+        [
+            (leaf, float(d), float(max(n, 1.0)), float(u))
+            for leaf, (d, n, u) in enumerate(
+                zip(vocabulary.discount[class_of_leaf()], vocabulary.leaf_tokens, vocabulary.unknown(), strict=True)
+            )
+        ],
+        "leaf int, discount double, seen double, unknown double",
+    )
     is_rare = F.col("n") > 0
     c = F.coalesce("c", F.lit(0)).cast("double")
     total = float(vocabulary.tokens + vocabulary.types + 1)
     inside = F.when(
-        F.col("c").isNotNull(),
-        F.log10(F.greatest(c - pick(vocabulary.discount), F.lit(1e-3)) / F.greatest(pick(vocabulary.class_tokens), F.lit(1.0))),
-    ).otherwise(pick(vocabulary.unknown()))
-    settled = emitted.join(rarer, "h", "left").select(
+        F.col("c").isNotNull(), F.log10(F.greatest(c - F.col("discount"), F.lit(1e-3)) / F.col("seen"))
+    ).otherwise(F.col("unknown"))
+    settled = emitted.join(F.broadcast(shares), "leaf", "left").join(rarer, "h", "left").select(
         "doc_id",
         "text_key",
         "rows",

@@ -254,11 +254,100 @@ def test_lm_weights_do_not_depend_on_the_partitioning(spark):
     docs = spark.createDataFrame([(i, prose(i, 60), i % lm.ROUNDS) for i in range(80)], "doc_id long, text string, part long")
     vocabulary = lm.summarise(lm.count_words(docs))
     part = F.col("part")
-    one = lm.train_weights(docs.coalesce(1), vocabulary, part).table
-    many = lm.train_weights(docs.repartition(9), vocabulary, part).table
-    assert one.shape == (lm.FEATURES * lm.BUCKETS, lm.CLASSES)
-    assert np.abs(one).max() > 0.1
-    assert np.abs(one - many).max() < 1e-4
+    one = lm.train_weights(docs.coalesce(1), vocabulary, part)
+    many = lm.train_weights(docs.repartition(9), vocabulary, part)
+    assert one.table.shape == (lm.FEATURES * vocabulary.buckets, lm.CLASSES)
+    for a, b in ((one.table, many.table), (one.sub_table, many.sub_table)):
+        assert np.abs(a).max() > 0.1
+        assert np.abs(a - b).max() < 1e-6
+
+
+def test_lm_buckets_grow_with_the_corpus():
+    sizes = [lm.Vocabulary(n, 1, *[None] * 9).buckets for n in (0, 10**7, 10**8, 10**12)]
+    assert sizes == [lm.LEAST, lm.LEAST, 8192, lm.MOST]
+
+
+def mix(x):
+    return int(lm.mix64(np.array([x % 2**64], dtype=np.uint64))[0])
+
+
+class PlainScorer:
+    """The model word by word, from trained weights and plain counts."""
+
+    def __init__(self, weights, texts):
+        self.w = weights
+        self.counts = Counter(t for text in texts for t in plain_tokens(text))
+        by_count = sorted((-n, (self.hash(t) ^ 1 << 63), t) for t, n in self.counts.items() if t is not None)
+        self.singles = [t for _, _, t in by_count[: lm.SINGLES]]
+        self.in_leaf, once, twice = Counter(), Counter(), Counter()
+        self.types = Counter()
+        for t, n in self.counts.items():
+            c, leaf = self.place(t)
+            self.in_leaf[leaf] += n
+            self.types[leaf] += 1
+            once[c] += n == 1
+            twice[c] += n == 2
+        self.discount = {
+            c: 0.0 if c < len(self.singles) or c == lm.END_CLASS else min(0.95, max(0.1, once[c] / max(once[c] + 2 * twice[c], 1)))
+            for c in range(lm.CLASSES)
+        }
+
+    def hash(self, t):
+        raw = (t or "").encode()
+        return int(lm.END) if t is None else int(lm.word_hashes(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0])
+
+    def place(self, t):
+        """Class and leaf of a token."""
+        if t is None:
+            return lm.END_CLASS, ("end",)
+        if t in self.singles:
+            return self.singles.index(t), (t,)
+        raw = t.encode()
+        c = lm.SINGLES + mix(raw[-1] << 8 | (raw[-2] if len(raw) > 1 else 0)) % lm.GROUPS
+        return c, (c, (self.hash(t) >> 20) % lm.SUBS)
+
+    def share(self, table, bias, rows, own):
+        logits = np.array(bias, dtype=np.float64)
+        for r in rows:
+            logits += table[r]
+        return logits[own] - math.log(np.exp(logits).sum())
+
+    def score(self, text):
+        tokens, total = plain_tokens(text), 0.0
+        bits = self.w.buckets.bit_length() - 1
+        for i, t in enumerate(tokens):
+            back = [self.hash(tokens[i - d]) if i >= d else d for d in (1, 2, 3)]
+            salts = [int(x) for x in lm._SALTS]
+            context = [back[0], (back[1] * salts[1] + back[0]) % 2**64, back[1], back[2]]
+            rows_ = [(mix(c * x) >> (64 - bits)) + k * self.w.buckets for k, (c, x) in enumerate(zip(context, salts, strict=True))]
+            c, leaf = self.place(t)
+            total += self.share(self.w.table, self.w.bias, rows_, c)
+            if len(leaf) == 2:
+                size = self.w.buckets * lm.SUB_BUCKETS
+                rows_ = [
+                    (mix((context[f] * salts[f]) % 2**64 ^ mix(c + 1)) >> (65 - size.bit_length())) + k * size
+                    for k, f in enumerate(lm.SUB_FEATURES)
+                ]
+                total += self.share(self.w.sub_table, self.w.sub_bias[c - lm.SINGLES], rows_, leaf[1])
+            n, seen = self.counts[t], self.in_leaf[leaf]
+            if n:
+                total += math.log(max(n - self.discount[c], 1e-3) / max(seen, 1))
+            else:
+                total += math.log(max(self.discount[c] * self.types[leaf] / seen, 1e-12)) if seen else 0.0
+        return total / math.log(10)
+
+
+@pytest.mark.parametrize("top", [lm.TOP, 40])
+def test_lm_scores_are_those_of_the_definition(spark, monkeypatch, top):
+    monkeypatch.setattr(lm, "TOP", top)
+    trained = []
+    train_weights = lm.train_weights
+    monkeypatch.setattr(lm, "train_weights", lambda *a: trained.append(train_weights(*a)) or trained[-1])
+    data = [(i, prose(i, 40 + i)) for i in range(60)] + [(100, None), (101, ""), (102, "zzz unseen Words. the the"), (103, prose(1, 30))]
+    got = {r.doc_id: r.score for r in lm.lm_score(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    plain = PlainScorer(trained[0], [t for i, t in data if zlib.crc32(str(i).encode()) % 7 != 2])
+    for i, text in data:
+        assert got[i] == pytest.approx(plain.score(text), rel=1e-5)
 
 
 def test_lm_is_a_distribution(spark):
@@ -269,15 +358,17 @@ def test_lm_is_a_distribution(spark):
     words = counts.where("g >= 0").toPandas()
     hashes = words.h.to_numpy().view(np.uint64)
     index = lm.Index(vocabulary.singles)
-    for context in ("", "the quick", "zzz unseen words"):
-        first = lm.tokenize(np.frombuffer(context.encode(), np.uint8), np.array([0, len(context.encode())]))
-        logits = weights.logits(lm.features(first)[:, -1:])[0]
-        p_class = np.exp(logits) / np.exp(logits).sum()
+    every = np.arange(lm.SINGLES, lm.SINGLES + lm.GROUPS)
+    for text in ("", "the quick", "zzz unseen words"):
+        first = lm.tokenize(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        context = [c[-1:] for c in lm.contexts(first)]
+        p_class = lm.softmax(weights.logits(lm.features(context, weights.buckets)))[0]
+        subs = lm.sub_features([np.repeat(c, len(every)) for c in context], every, weights.buckets)
+        p_leaf = np.append(p_class[: lm.SINGLES], (p_class[every, None] * lm.softmax(weights.sub_logits(subs, every))).ravel())
         tokens = lm.Tokens(hashes, words.g.to_numpy().astype(np.int8), np.array([0]))
-        classes = vocabulary.classes(tokens, index)
-        known = (p_class[classes] * 10 ** vocabulary.known(words.n.to_numpy(), classes)).sum()
-        spelled = slice(lm.SINGLES, lm.SINGLES + lm.GROUPS)
-        unknown = (p_class[spelled] * 10 ** vocabulary.unknown()[spelled]).sum()
+        leaves = lm.leaves(vocabulary.classes(tokens, index), lm.subclass(hashes))
+        known = (p_leaf[leaves] * 10 ** vocabulary.known(words.n.to_numpy(), leaves)).sum()
+        unknown = (p_leaf * 10 ** vocabulary.unknown()[:-1])[lm.SINGLES :].sum()
         assert known + unknown + p_class[lm.END_CLASS] == pytest.approx(1.0, abs=0.02)
 
 
