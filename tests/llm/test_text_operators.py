@@ -188,8 +188,9 @@ def plain_votes(text, templates, k=lic.K):
                 run = []
             run, last = run + sorted(votes[d]), d
         for run in [*runs, run]:
-            places = {p for p, _ in run}
-            if run and len({q for _, q in run}) / grams >= lic.COVERAGE and len(places) / (max(places) - min(places) + 1) >= lic.DENSITY:
+            places = {p + j for p, _ in run for j in range(k)}
+            covered = {q + j for _, q in run for j in range(k)}
+            if run and len(covered) / len(t) >= lic.COVERAGE and len(places) / (max(places) - min(places) + 1) >= lic.DENSITY:
                 labels.add(label)
     return labels
 
@@ -208,6 +209,24 @@ def test_license_spans_with_words_changed(spark):
         assert set(filter(None, r.labels.split(","))) == plain_votes(data[r.doc_id][1], lic.TEMPLATES) | set(filter(None, r.base_labels.split(",")))
 
 
+def test_full_license_texts(spark):
+    data = [(i, f"{prose(i, 30)}\n{text.upper()}\n{prose(i + 50, 30)}") for i, (_, text) in enumerate(lic.TEMPLATES)]
+    got = {r.doc_id: r for r in lic.license_scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i, (label, text) in enumerate(lic.TEMPLATES):
+        assert label in got[i].labels.split(",")
+        assert got[i].score == 1.0
+        assert got[i].span_first <= 30
+        assert got[i].span_last >= got[i].span_first
+
+
+def test_equal_hashes_of_other_words_do_not_count(spark, monkeypatch):
+    monkeypatch.setattr(lic, "kgram_hash", lambda words, i, k: F.lit(7).cast("long"))
+    data = [(1, prose(3, 400)), (2, prose(4, 9) + " released under the MIT license " + prose(5, 9))]
+    got = {r.doc_id: r for r in lic.license_scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert (got[1].labels, got[1].score) == ("", 0.0)
+    assert (got[2].labels, got[2].span_first) == ("mit", 9)
+
+
 def test_license_scan_is_native(docs):
     plan = lic.license_scan(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan.split("== Optimized")[1].split("InMemoryRelation")[0])
