@@ -1,8 +1,11 @@
 """Exact top-k search by tiled matrix products.
 
-Vectors are packed into blocks (matrices).  Query blocks go to every group of shard blocks, so
-a tile is one query block times one shard block; each tile keeps its k best per query by partial
-selection, and the lists are merged in two steps of a tree: within bunches of tiles, then across.
+Vectors are packed into blocks (matrices).  Queries are dealt into groups of about QUERY_BLOCKS blocks and candidates
+into groups of shard blocks, and a task takes one of each: it holds its queries, streams through its shards, and for
+every tile (its queries times one shard block) keeps the k best per query by partial selection and merges them into
+its lists.  The tasks' lists are merged in two steps of a tree: within bunches of groups, then across.  So the
+candidates are copied once for each query group, the queries once for each candidate group, of which there are no more
+than it takes to give all cores work, and a task hands on k rows for a query, however many shards it saw.
 
 Products are exact: floating point where every sum fits 53 bits, 64-bit integers where it fits
 63, Python integers otherwise (scores beyond 64 bits are held at the ends of that range).
@@ -10,11 +13,13 @@ Products are exact: floating point where every sum fits 53 bits, 64-bit integers
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
 only vectors of equal length are compared; a null id takes no part.  Rows that repeat an id
 and vector are candidates each, and one query; an id with different vectors is a query for each
-of them; no row with the query's own id is its candidate.  An empty table gives an empty result.
+of them; no row with the query's own id is its candidate.  Ties go to the smaller id; other columns are ignored.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +28,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, expect_columns
+from .common import expect_columns, stored
 
 SCALE = 1024
 QUERY_BLOCK = 512
 SHARD_BLOCK = 2048
-#: Shard blocks of a group; every query block is copied once for each group.
-GROUP_BLOCKS = 4
+#: Query blocks of a group, on average: what a task holds.
+QUERY_BLOCKS = 8
 _I63 = 1 << 63
+#: What stands for no candidate in a list.
+_NONE, _NO_ID = -_I63, _I63 - 1
 
 _BLOCK = "dim int, block long, n int, ids binary, marks binary, matrix binary"
 
@@ -50,7 +57,7 @@ def _packer(size: int):
                     pa.array([len(p) for p in parts], pa.int32()),
                     pa.array([ids[p].tobytes() for p in parts], pa.binary()),
                     pa.array([marks[p].tobytes() for p in parts], pa.binary()),
-                    pa.array([np.floor(SCALE * rows[p]).tobytes() for p in parts], pa.binary()),
+                    pa.array([rows[p].tobytes() for p in parts], pa.binary()),
                 ],
                 names=["dim", "block", "n", "ids", "marks", "matrix"],
             )
@@ -76,14 +83,27 @@ def _packer(size: int):
     return pack
 
 
+def scaled(matrix: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x); infinite where that is too large for a double."""
+    with np.errstate(over="ignore"):
+        return np.floor(SCALE * matrix)
+
+
+def whole_numbers(matrix: np.ndarray) -> list[list[int]]:
+    """floor(SCALE * x) as integers of any size."""
+    return [[math.floor(SCALE * x) if abs(x) < 1e300 else SCALE * int(x) for x in row] for row in matrix.tolist()]
+
+
 def products(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """Integer inner products of the rows of two matrices of whole numbers, exactly."""
-    bound = int(np.abs(queries).max(initial=0)) * int(np.abs(shard).max(initial=0)) * max(1, queries.shape[1])
+    """Integer inner products of the scaled rows of two matrices, exactly."""
+    a, b = scaled(queries), scaled(shard)
+    largest = [float(np.abs(m).max(initial=0)) for m in (a, b)]
+    bound = int(largest[0]) * int(largest[1]) * max(1, a.shape[1]) if np.isfinite(largest).all() else _I63
     if bound < 1 << 53:
-        return (queries @ shard.T).astype(np.int64)
-    if bound < _I63 and max(np.abs(queries).max(), np.abs(shard).max()) < 2.0**63:
-        return queries.astype(np.int64) @ shard.astype(np.int64).T
-    whole = [[[int(x) for x in row] for row in m.tolist()] for m in (queries, shard)]
+        return (a @ b.T).astype(np.int64)
+    if bound < _I63 and max(largest) < 2.0**63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = whole_numbers(queries), whole_numbers(shard)
     return np.array(
         [[max(-_I63 + 1, min(_I63 - 1, sum(map(int.__mul__, q, v)))) for v in whole[1]] for q in whole[0]],
         dtype=np.int64,
@@ -107,45 +127,91 @@ def best_of_tile(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarra
     return rows[keep], columns[keep]
 
 
-def _tiles(k: int):
+class Lists:
+    """The k best candidates so far of some queries."""
+
+    def __init__(self, blocks: list[dict], k: int) -> None:
+        matrices = [np.frombuffer(x["matrix"], dtype=np.float64).reshape(-1, x["dim"]) for x in blocks]
+        self.queries = np.concatenate(matrices)
+        self.ids, self.marks = (np.concatenate([np.frombuffer(x[c], dtype=np.int64) for x in blocks]) for c in ("ids", "marks"))
+        self.k = k
+        self.scores = np.full((len(self.ids), k), _NONE, dtype=np.int64)
+        self.found = np.full((len(self.ids), k), _NO_ID, dtype=np.int64)
+
+    def see(self, shard: dict) -> None:
+        """One tile."""
+        vectors = np.frombuffer(shard["matrix"], dtype=np.float64).reshape(-1, shard["dim"])
+        ids = np.frombuffer(shard["ids"], dtype=np.int64)
+        for at in range(0, len(self.ids), QUERY_BLOCK):
+            here = slice(at, at + QUERY_BLOCK)
+            scores = products(self.queries[here], vectors)
+            r, c = best_of_tile(scores, self.ids[here, None] == ids[None, :], self.k)
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            both = [np.concatenate([old[here], np.full_like(old[here], none)], axis=1) for old, none in ((self.scores, _NONE), (self.found, _NO_ID))]
+            both[0][r, self.k + place], both[1][r, self.k + place] = scores[r, c], ids[c]
+            # largest score first, then smallest id; ~x turns the order of integers round without overflow
+            order = np.lexsort((both[1], ~both[0]), axis=1)[:, : self.k]
+            self.scores[here], self.found[here] = (np.take_along_axis(x, order, axis=1) for x in both)
+
+    def rows(self, bunch: int) -> pa.RecordBatch:
+        r, c = np.nonzero(self.scores != _NONE)
+        columns = [self.ids[r], self.marks[r], self.found[r, c], self.scores[r, c], np.full(len(r), bunch, dtype=np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "mark", "vec_id", "score", "bunch"])
+
+
+def _search(k: int):
+    """Rows come sorted by dimension and groups, queries before shards."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, blocks, lists = None, [], None
         for batch in batches:
             for row in batch.to_pylist():
-                q, v = (np.frombuffer(row[c], dtype=np.float64).reshape(-1, row["dim"]) for c in ("matrix", "v_matrix"))
-                q_ids, v_ids, marks = (np.frombuffer(row[c], dtype=np.int64) for c in ("ids", "v_ids", "marks"))
-                scores = products(q, v)
-                r, c = best_of_tile(scores, q_ids[:, None] == v_ids[None, :], k)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(q_ids[r]),
-                        pa.array(marks[r]),
-                        pa.array(v_ids[c]),
-                        pa.array(scores[r, c]),
-                        pa.array(np.full(len(r), row["v_block"] % 64, dtype=np.int32)),
-                    ],
-                    names=["query_id", "mark", "vec_id", "score", "bunch"],
-                )
+                here = (row["dim"], row["query_group"], row["shard_group"])
+                if here != key:
+                    if lists is not None:
+                        yield lists.rows(key[2] % BUNCHES)
+                    key, blocks, lists = here, [], None
+                if not row["shard"]:
+                    blocks.append(row)
+                elif blocks:
+                    lists = lists or Lists(blocks, k)
+                    lists.see(row)
+        if lists is not None:
+            yield lists.rows(key[2] % BUNCHES)
 
     return run
 
 
+#: Lists of a query that meet in the first step of the tree, as a number of bunches.
+BUNCHES = 64
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """The k candidates (vec_id, embedding) of highest integer inner product for each query (vec_id, embedding)."""
+    spark = queries.sparkSession
     mark = lambda df: expect_columns(df, "vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(
         F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.xxhash64("embedding").alias("mark")
     )
-    asked = mark(queries).dropDuplicates(["vec_id", "mark"]).mapInArrow(_packer(QUERY_BLOCK), _BLOCK)
-    shards = durable(mark(candidates).mapInArrow(_packer(SHARD_BLOCK), _BLOCK).drop("marks"))
-    groups = max(1, -(-shards.count() // GROUP_BLOCKS))
-    shards = shards.select(
-        "dim",
-        F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("group"),
-        *[F.col(c).alias(f"v_{c}") for c in ("block", "ids", "matrix")],
+    asked = stored(mark(queries).dropDuplicates(["vec_id", "mark"]).mapInArrow(_packer(QUERY_BLOCK), _BLOCK))
+    shards = stored(mark(candidates).mapInArrow(_packer(SHARD_BLOCK), _BLOCK))
+    n_queries, n_shards = asked.count(), shards.count()
+    query_groups = max(1, -(-n_queries // QUERY_BLOCKS))
+    # as many pairs of groups as keep all cores busy
+    tasks = 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shard_groups = max(1, min(n_shards, -(-tasks // query_groups)))
+    deal = lambda n: F.pmod(F.xxhash64("ids", "marks"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = (
+        asked.withColumn("shard", F.lit(False)).withColumn("query_group", deal(query_groups)).withColumn("shard_group", each(shard_groups))
+    ).unionByName(
+        shards.withColumn("shard", F.lit(True)).withColumn("shard_group", deal(shard_groups)).withColumn("query_group", each(query_groups))
+    )
+    place = ["dim", "query_group", "shard_group"]
+    lists = (
+        both.repartition(query_groups * shard_groups, *place)
+        .sortWithinPartitions(*place, "shard")
+        .mapInArrow(_search(k), "query_id long, mark long, vec_id long, score long, bunch int")
     )
-    asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    lists = asked.join(shards, ["dim", "group"]).select(
-        "dim", "ids", "marks", "matrix", "v_block", "v_ids", "v_matrix"
-    ).mapInArrow(_tiles(k), "query_id long, mark long, vec_id long, score long, bunch int")
     for keys in (["query_id", "mark", "bunch"], ["query_id", "mark"]):
         best = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
         lists = lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

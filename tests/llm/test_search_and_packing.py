@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -47,16 +49,38 @@ def test_repeated_rows_are_candidates_each_and_one_query(spark):
     assert got == [(100, 1, 1, 1048576), (100, 2, 1, 1048576)]
 
 
+def test_components_at_the_end_of_double(spark):
+    rows_ = [(100, [1.7e308, 1e-3, -1.0]), (200, [-1.7e308, 0.0, 1.0]), (1, [1.7e308, 1.0, 0.0]), (2, [0.0, 2.0, 0.0]), (3, [-1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in top_k(df.where("vec_id % 100 = 0"), df, 2).collect()}
+    top = (1 << 63) - 1
+    assert got == {(100, 1, 1, top), (100, 2, 2, 2048), (200, 1, 3, top), (200, 2, 2, 0)}
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_top_k_over_many_groups(spark, monkeypatch, blocks):
+    from lineweave.llm import topk
+
+    monkeypatch.setattr(topk, "QUERY_BLOCKS", blocks)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "SHARD_BLOCK", 16)
+    rng = random.Random(9)
+    vectors = [(i, [rng.choice([-0.5, 0.25, 0.1]) for _ in range(2 + i % 2)]) for i in range(0, 3000, 5)]
+    df = spark.createDataFrame([(*v, 1, 2, 3, 4, 5) for v in vectors], VECTORS).repartition(5)
+    assert {tuple(r) for r in top_k(df.where("vec_id % 100 = 0"), df, 10).collect()} == plain_top(vectors, 10)
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], VECTORS)
     assert top_k(df, df).collect() == []
 
 
-@pytest.mark.parametrize("scale", [1, 1e6, 1e12])
+@pytest.mark.parametrize("scale", [1, 1e6, 1e12, 1e307])
 def test_products_are_exact(scale):
     rng = np.random.default_rng(1)
-    a, b = (np.floor(rng.normal(size=(5, 16)) * 1000 * scale) for _ in range(2))
-    whole = [[sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for q in b] for p in a]
+    a, b = (rng.normal(size=(5, 16)) * scale for _ in range(2))
+    exact = lambda x: math.floor(1024 * Fraction(x))
+    whole = [[sum(exact(x) * exact(y) for x, y in zip(p.tolist(), q.tolist(), strict=True)) for q in b] for p in a]
     limit = (1 << 63) - 1
     assert products(a, b).tolist() == [[max(-limit, min(limit, x)) for x in r] for r in whole]
 
