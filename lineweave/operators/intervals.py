@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,31 +30,37 @@ def merge(windows: DataFrame, key: str = "video_id") -> DataFrame:
 
 
 def subtract(windows: DataFrame, known: DataFrame, key: str = "video_id") -> DataFrame:
-    """What of disjoint ``windows`` no ``known`` interval covers; known intervals may overlap each other."""
-    w, k = windows.alias("w"), known.select(key, "start_frame", "end_frame").alias("k")
-    meets = (
-        (F.col(f"w.{key}") == F.col(f"k.{key}"))
-        & (F.col("k.end_frame") > F.col("w.start_frame"))
-        & (F.col("k.start_frame") < F.col("w.end_frame"))
-    )
-    each = w.join(k, meets, "left").select(
-        "w.*", F.col("k.start_frame").alias("known_start"), F.col("k.end_frame").alias("known_end")
-    )
-    within = Window.partitionBy(key, "start_frame").orderBy("known_start", "known_end")
-    low = F.greatest(
-        F.col("start_frame"), F.max("known_end").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    )
-    names = [c for c in windows.columns if c not in ("start_frame", "end_frame")]
-    gaps = each.where("known_start IS NOT NULL").select(
-        *names, low.alias("start_frame"), F.col("known_start").alias("end_frame")
-    )
-    tails = each.groupBy("start_frame", key).agg(
-        F.first("end_frame").alias("end_frame"),
-        F.max("known_end").alias("covered"),
-        *[F.first(n).alias(n) for n in names if n != key],
+    """What of disjoint ``windows`` no ``known`` interval covers; known intervals may overlap each other.
+
+    One sweep over the end points of a key: where a window is open and no known interval is, a piece reaches to the
+    next end point.
+    """
+    names = [c for c in windows.columns if c not in (key, "start_frame", "end_frame")]
+    zero, one = F.lit(0), F.lit(1)
+    row = F.struct(*names) if names else F.struct(F.lit(0).alias("_"))
+    none = F.lit(None).cast(windows.select(row.alias("r")).schema["r"].dataType)
+
+    def points(intervals: DataFrame, open_: Column, covered: Column, first: Column) -> DataFrame:
+        ends = F.explode(
+            F.array(
+                F.struct(F.col("start_frame").alias("at"), open_.alias("open"), covered.alias("covered"), first.alias("row")),
+                F.struct(F.col("end_frame").alias("at"), (-open_).alias("open"), (-covered).alias("covered"), none.alias("row")),
+            )
+        )
+        return intervals.select(key, ends.alias("e")).select(key, "e.*")
+
+    along = Window.partitionBy(key).orderBy("at")
+    here = along.rangeBetween(Window.unboundedPreceding, 0)  # end points at one place count together
+    swept = points(windows, one, zero, row).unionByName(points(known, zero, one, none)).select(
+        key,
+        F.col("at").alias("start_frame"),
+        F.lead("at").over(along).alias("end_frame"),
+        F.sum("open").over(here).alias("open"),
+        F.sum("covered").over(here).alias("covered"),
+        F.last("row", ignorenulls=True).over(here).alias("row"),
     )
-    tails = tails.select(*names, F.greatest("start_frame", "covered").alias("start_frame"), "end_frame")
-    return gaps.unionByName(tails).where("start_frame < end_frame").select(windows.columns)
+    left = swept.where("open > 0 AND covered = 0 AND start_frame < end_frame")
+    return left.select("*", "row.*").select(windows.columns)
 
 
 def reference_windows(refs: DataFrame, results: DataFrame, videos: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,17 +65,33 @@ def buffer_size(frames: DataFrame, micros: str, span_micros: int, limit: int, ke
 def greedy_throttle(frames: DataFrame, micros: str, interval_micros: int, key: str) -> DataFrame:
     """(key, micros) of the frames that act: the first, and each one ``interval_micros`` or more after the last that did.
 
-    What is due depends on what acted before, so a key's times are folded in order.
+    What is due depends on what acted before, so a task passes through its keys' times in order, holding the last time
+    that acted.
     """
-    folded = frames.groupBy(key).agg(F.array_sort(F.collect_list(micros)).alias("_times"))
-    acted = F.aggregate(
-        "_times",
-        F.array().cast("array<bigint>"),
-        lambda done, t: F.when(
-            (F.size(done) == 0) | (t - F.element_at(done, -1) >= interval_micros), F.array_append(done, t)
-        ).otherwise(done),
-    )
-    return folded.select(key, F.explode(acted).alias(micros))
+    schema = frames.select(key, F.col(micros).cast("long").alias(micros)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, None
+        for batch in batches:
+            keys, times = batch.column(0), batch.column(1).to_numpy()
+            places: list[int] = []
+            changes = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False) if len(keys) > 1 else np.zeros(0, bool)
+            edges = [0, *(np.flatnonzero(changes) + 1).tolist(), len(keys)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                here = keys[a].as_py()
+                if here != last_key:
+                    last_key, last = here, None
+                at = a if last is None else a + int(np.searchsorted(times[a:b], last + interval_micros))
+                while at < b:
+                    places.append(at)
+                    last = int(times[at])
+                    at = a + int(np.searchsorted(times[a:b], last + interval_micros))
+            yield batch.take(pa.array(places, pa.int64()))
+
+    ordered = frames.where(F.col(key).isNotNull() & F.col(micros).isNotNull()).select(key, F.col(micros).cast("long").alias(micros))
+    return ordered.repartition(key).sortWithinPartitions(key, micros).mapInArrow(run, schema)
 
 
 def confirmations(
@@ -95,22 +116,27 @@ def confirmations(
 
 
 def backward_onset(frames: DataFrame, anchors: DataFrame, k: int, key: str, order: str, hit: str = "hit") -> DataFrame:
-    """(key, anchor, onset): walking back from each anchor, the earliest hit before k misses in a row."""
-    walked = (
-        anchors.join(frames.select(key, order, hit), key)
-        .where(F.col(order) <= F.col("anchor"))
-        .withColumn("_back", F.col("anchor") - F.col(order))
+    """(key, anchor, onset): walking back from each anchor, the earliest hit before k misses in a row.
+
+    That is the first hit of the run of hits (with fewer than k misses between them) that the anchor is in or close
+    behind, so one pass over a key's frames and anchors finds all; without such a run the anchor is its own onset.
+    """
+    seen = F.coalesce(F.col(hit), F.lit(False))
+    both = frames.select(key, F.col(order).alias("_at"), seen.alias("_hit"), F.lit(0).alias("_anchor")).unionByName(
+        # a walk begins with the frame at its anchor, so anchors come behind it
+        anchors.select(key, F.col("anchor").alias("_at"), F.lit(False).alias("_hit"), F.lit(1).alias("_anchor"))
     )
-    back = Window.partitionBy(key, "anchor").orderBy("_back")
-    missed = F.when(F.col(hit), 0).otherwise(1)
-    run = F.sum(missed).over(back.rowsBetween(-(k - 1), 0))
-    walked = walked.withColumn("_run", run).withColumn("_n", F.row_number().over(back))
-    stopped = F.max(F.when((F.col("_run") == k) & (F.col("_n") >= k), 1).otherwise(0)).over(
-        back.rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(key).orderBy("_at", "_anchor")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = both.withColumn("_n", F.sum(1 - F.col("_anchor")).over(so_far))
+    numbered = numbered.withColumn("_hit_n", F.when(F.col("_hit"), F.col("_n")))
+    before = F.max("_hit_n").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.col("_hit") & F.coalesce(F.col("_n") - before > k, F.lit(True))
+    runs = numbered.withColumn("_start", F.when(fresh, F.col("_at"))).withColumns(
+        {"_run": F.last("_start", ignorenulls=True).over(so_far), "_last": F.max("_hit_n").over(so_far)}
     )
-    return (
-        walked.withColumn("_stopped", stopped)
-        .groupBy(key, "anchor")
-        .agg(F.min(F.when((F.col("_stopped") == 0) & F.col(hit), F.col(order))).alias("o"))
-        .select(key, "anchor", F.coalesce("o", "anchor").alias("onset"))
+    near = F.col("_n") - F.col("_last") < k
+    found = runs.where("_anchor = 1").select(
+        key, F.col("_at").alias("anchor"), F.when(near, F.col("_run")).otherwise(F.col("_at")).alias("onset")
     )
+    return found.dropDuplicates([key, "anchor"])

@@ -7,32 +7,33 @@ from pyspark.sql import functions as F
 
 from ..functions.timefmt import frame_to_seconds, frame_to_time, seconds_to_time
 from ..sinks.ass import dialogue_lines, in_output_order
+from ..sources.check_table import INFO_ID, verify_source
 from .registry import query
 from .surrogates import FRAMES_SQL, frames, table
 
 FILM, VIDEO = "23.976023976023978", "29.97002997002997"
 
 
-def _format_sql(cs: str) -> str:
+def format_sql(cs: str) -> str:
     return (
         f"CAST(({cs}) // 360000 AS VARCHAR) || ':' || lpad(CAST(({cs}) % 360000 // 6000 AS VARCHAR), 2, '0') || ':' || "
         f"lpad(CAST(({cs}) % 6000 // 100 AS VARCHAR), 2, '0') || '.' || lpad(CAST(({cs}) % 100 AS VARCHAR), 2, '0')"
     )
 
 
-def _frame_sql(frame: str, fps: str) -> str:
+def frame_sql(frame: str, fps: str) -> str:
     whole, _, digits = fps.partition(".")
     return f"(CAST({frame} AS HUGEINT) * 100 * {10 ** len(digits)} // {whole}{digits})"
 
 
-@query(f"SELECT event_id, {_format_sql('c')} AS at FROM (SELECT event_id, greatest(0, CAST(round_even(value * 100, 0) AS BIGINT)) AS c FROM events)")
+@query(f"SELECT event_id, {format_sql('c')} AS at FROM (SELECT event_id, greatest(0, CAST(round_even(value * 100, 0) AS BIGINT)) AS c FROM events)")
 def seconds_to_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", seconds_to_time(F.col("value")).alias("at"))
 
 
 @query(
-    f"""SELECT o_orderkey, {_format_sql("a")} AS film, {_format_sql("b")} AS video, round(o_orderkey / {FILM}, 6) AS seconds
-    FROM (SELECT o_orderkey, {_frame_sql("o_orderkey", FILM)} AS a, {_frame_sql("o_orderkey", VIDEO)} AS b FROM orders)"""
+    f"""SELECT o_orderkey, {format_sql("a")} AS film, {format_sql("b")} AS video, round(o_orderkey / {FILM}, 6) AS seconds
+    FROM (SELECT o_orderkey, {frame_sql("o_orderkey", FILM)} AS a, {frame_sql("o_orderkey", VIDEO)} AS b FROM orders)"""
 )
 def frame_to_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
@@ -44,9 +45,17 @@ def frame_to_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+@query("SELECT doc_id, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS ok, sha256(text) AS sha256 FROM documents")
 def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    """Documents as files and a check table of their digests, where every fifth is wrong and every seventh missing."""
+    documents = table(spark, sf_dir, "documents")
+    files = documents.select(F.col("doc_id").cast("string").alias("script_id"), F.encode("text", "UTF-8").alias("content"))
+    check = documents.where("doc_id % 7 <> 0").select(
+        F.lit(INFO_ID).alias("id"),
+        F.col("doc_id").cast("string").alias("name"),
+        F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("text"),
+    )
+    return verify_source(check, files).select(F.col("script_id").cast("long").alias("doc_id"), "ok", F.col("actual").alias("sha256"))
 
 
 @query(
@@ -55,7 +64,7 @@ def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
                CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS src, event_type AS name
         FROM frames WHERE event_type IN ('view', 'error'))
     SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY start_frame // 4, src, event_id) AS INTEGER) AS place,
-        'Dialogue: 0,' || {_format_sql(_frame_sql("start_frame", "30"))} || ',' || {_format_sql(_frame_sql("end_frame", "30"))}
+        'Dialogue: 0,' || {format_sql(frame_sql("start_frame", "30"))} || ',' || {format_sql(frame_sql("end_frame", "30"))}
         || ',Style,' || CASE WHEN src = 1 THEN 'OCR' ELSE name END || ',0,0,0,,' AS line FROM u"""
 )
 def union_ordered_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.intervals import merge, subtract
+from ..functions.pixels import mask_change
+from ..operators.intervals import merge, reference_windows, subtract
 from ..operators.intervals import scan_regions as regions_of
 from ..operators.readings import best_reading, reading_order as order_of, union_box as box_of, weighted_confidence as mean_of
 from ..operators.script_events import neighbours
@@ -82,6 +83,17 @@ def ranged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM w LEFT JOIN k ON k.video_id = w.video_id GROUP BY ALL"""
 )
 def before_after_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(*_references(spark, sf_dir)).select(
+        F.col("script_id").alias("video_id"),
+        F.col("line").alias("start_frame"),
+        "asset",
+        F.size("before").cast("long").alias("before"),
+        F.size("after").cast("long").alias("after"),
+    )
+
+
+def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Windows as references of scripts, and known intervals as their events."""
     frame = frames(spark, sf_dir)
     refs = intervals(frame, "view", 15).select(
         F.col("video_id").alias("script_id"),
@@ -96,25 +108,29 @@ def before_after_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("start_frame").cast("double").alias("start_s"),
         (F.col("end_frame") - F.col("start_frame")).cast("double").alias("duration_s"),
     )
-    return neighbours(refs, events).select(
-        F.col("script_id").alias("video_id"),
-        F.col("line").alias("start_frame"),
-        "asset",
-        F.size("before").cast("long").alias("before"),
-        F.size("after").cast("long").alias("after"),
-    )
+    return refs, events
 
 
 @query(
-    f"""WITH {FRAMES_SQL}, {WINDOWS_SQL}
-    SELECT user_id, coalesce(max(CASE WHEN hit THEN f + 1 END), 0) AS low, coalesce(min(CASE WHEN hit THEN f END), max(f) + 1) AS high
-    FROM frames GROUP BY user_id"""
+    f"""WITH {FRAMES_SQL}, {WINDOWS_SQL}, n AS (SELECT user_id, max(f) + 1 AS total FROM frames GROUP BY user_id),
+    b AS (SELECT w.video_id, w.start_frame AS line, w.asset,
+            max(CASE WHEN k.end_frame <= w.start_frame + 0.1 THEN k.end_frame END) AS low,
+            min(CASE WHEN k.start_frame >= w.end_frame - 0.1 THEN k.start_frame END) AS high
+        FROM w LEFT JOIN k ON k.video_id = w.video_id GROUP BY w.video_id, w.start_frame, w.asset)
+    SELECT video_id, asset, coalesce(low, 0) AS start_frame, coalesce(high, total) AS end_frame,
+        CASE WHEN low IS NULL OR high IS NULL THEN 'open_ended' ELSE 'neighboring_dialogues' END AS bounds
+    FROM b JOIN n ON n.user_id = b.video_id WHERE coalesce(low, 0) < coalesce(high, total)"""
 )
 def default_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir).groupBy("user_id").agg(
-        F.coalesce(F.max(F.when(F.col("hit"), F.col("f") + 1)), F.lit(0).cast("long")).alias("low"),
-        F.coalesce(F.min(F.when(F.col("hit"), F.col("f"))), F.max("f") + 1).alias("high"),
+    """Where references may play, between the matched events around them or the ends of the recording."""
+    refs, events = _references(spark, sf_dir)
+    matched = known(spark, sf_dir).select("video_id", F.col("start_frame").alias("idx"), F.lit("matched").alias("status"), "start_frame", "end_frame")
+    videos = frames(spark, sf_dir).groupBy(F.col("user_id").alias("video_id")).agg((F.max("f") + 1).alias("total_frames"))
+    placed = neighbours(refs, events).withColumnRenamed("script_id", "video_id").withColumns(
+        {"segment_start": F.lit(0).cast("long"), "segment_end": F.lit(1 << 40)}
     )
+    found = reference_windows(placed, matched, videos)
+    return found.select("video_id", F.col("assets")[0].alias("asset"), "start_frame", "end_frame", "bounds")
 
 
 _MASK = "(event_id * 2654435761 % 4294967296)"
@@ -127,11 +143,11 @@ _MASK = "(event_id * 2654435761 % 4294967296)"
         ELSE bit_count(xor(mask, old))::DOUBLE / greatest(bit_count(mask | old), 1) END, 6) AS changed FROM p"""
 )
 def change_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks = frames(spark, sf_dir).select("user_id", "f", F.expr(_MASK).alias("mask"))
+    """Masks of 4 x 8 pixels, bit-packed."""
+    bits = F.unhex(F.lpad(F.hex(F.expr(_MASK)), 8, "0"))
+    masks = frames(spark, sf_dir).select("user_id", "f", bits.alias("mask"))
     masks = masks.withColumn("old", previous("mask", "user_id", "f"))
-    differ = F.bit_count(F.col("mask").bitwiseXOR(F.col("old"))).cast("double")
-    union = F.greatest(F.bit_count(F.col("mask").bitwiseOR(F.col("old"))), F.lit(1))
-    return masks.select("user_id", "f", F.round(F.coalesce(differ / union, F.lit(1.0)), 6).alias("changed"))
+    return masks.select("user_id", "f", F.round(mask_change("old", "mask", F.lit(4), F.lit(8)), 6).alias("changed"))
 
 
 @query(
@@ -218,29 +234,31 @@ def onset_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT source, round(sum(w * (doc_id % 31 + 1) / 32.0::DOUBLE) / sum(w), 6) AS confidence FROM (
-        SELECT source, doc_id, CAST(greatest(1, length(trim(lang))) AS DOUBLE) AS w FROM documents) GROUP BY source"""
+        SELECT source, doc_id, CAST(greatest(1, length(trim(text))) AS DOUBLE) AS w FROM documents) GROUP BY source"""
 )
 def weighted_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = mean_of(F.col("lang"), (F.col("doc_id") % 31 + 1) / F.lit(32.0))
+    mean = mean_of(F.col("text"), (F.col("doc_id") % 31 + 1) / F.lit(32.0))
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.round(mean, 6).alias("confidence"))
 
 
 @query(
     """SELECT label, greatest(0, CAST(floor(min(x0)) AS INTEGER) - 2) AS x0, greatest(0, CAST(floor(min(y0)) AS INTEGER) - 2) AS y0,
         least(640, CAST(ceil(max(x1)) AS INTEGER) + 3) AS x1, least(90, CAST(ceil(max(y1)) AS INTEGER) + 3) AS y1 FROM (
-        SELECT label, abs(embedding[1]::DOUBLE) * 300 AS x0, abs(embedding[2]::DOUBLE) * 60 AS y0,
-            abs(embedding[1]::DOUBLE) * 300 + 40 AS x1, abs(embedding[2]::DOUBLE) * 60 + 30 AS y1 FROM embeddings) GROUP BY label"""
+        SELECT label, abs(embedding[i]::DOUBLE) * 300 AS x0, abs(embedding[i + 1]::DOUBLE) * 60 AS y0,
+            abs(embedding[i]::DOUBLE) * 300 + 40 AS x1, abs(embedding[i + 1]::DOUBLE) * 60 + 30 AS y1
+        FROM (SELECT label, embedding, unnest(range(1, len(embedding), 2)) AS i FROM embeddings)) GROUP BY label"""
 )
 def union_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = (F.abs(F.col("embedding")[i].cast("double")) * n for i, n in ((0, 300), (1, 60)))
-    boxes = table(spark, sf_dir, "embeddings").select(
+    place = F.explode(F.sequence(F.lit(0), F.size("embedding") - 2, F.lit(2)))
+    x, y = (F.abs(F.get("embedding", F.col("i") + k).cast("double")) * n for k, n in ((0, 300), (1, 60)))
+    boxes = table(spark, sf_dir, "embeddings").select("label", "embedding", place.alias("i")).select(
         "label", x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 30).alias("y1")
     )
     return boxes.groupBy("label").agg(box_of("x0", "y0", "x1", "y1", 640, 90).alias("b")).select("label", "b.*")
 
 
 @query(
-    """WITH a AS (SELECT doc_id // 4 AS grp, doc_id % 4 AS attempt, lang AS text_key, n_chars % 17 AS confidence FROM documents),
+    """WITH a AS (SELECT doc_id // 4 AS grp, doc_id % 4 AS attempt, length(text) % 3 AS text_key, n_chars % 17 AS confidence FROM documents),
     b AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY confidence DESC, attempt) AS n,
         first_value(text_key) OVER (PARTITION BY grp ORDER BY confidence DESC, attempt) AS best FROM a)
     SELECT grp, min(CASE WHEN n = 1 THEN attempt END) AS attempt, any_value(best) AS text_key, max(confidence) AS confidence,
@@ -250,7 +268,7 @@ def best_reading_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempts = table(spark, sf_dir, "documents").select(
         F.floor(F.col("doc_id") / 4).alias("grp"),
         (F.col("doc_id") % 4).alias("attempt"),
-        F.col("lang").alias("text_key"),
+        (F.length("text") % 3).cast("long").alias("text_key"),
         (F.col("n_chars") % 17).alias("confidence"),
     )
     return best_reading(attempts, "grp")
@@ -260,7 +278,7 @@ def best_reading_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH RECURSIVE b AS (
         SELECT vec_id, i, abs(embedding[4 * i + 1]::DOUBLE) * 300 AS x, abs(embedding[4 * i + 2]::DOUBLE) * 60 AS cy,
             greatest(1.0, abs(embedding[4 * i + 4]::DOUBLE) * 30) AS h
-        FROM embeddings, (SELECT unnest(range(0, 16)) AS i)
+        FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 4)) AS i FROM embeddings)
     ), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cy, i) AS n FROM b
     ), walk AS (
         SELECT vec_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(c DOUBLE, h DOUBLE)[]) AS rows, CAST([] AS BIGINT[]) AS homes FROM embeddings
@@ -269,14 +287,15 @@ def best_reading_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM (SELECT w.vec_id, o.n, w.rows, w.homes, o.cy, o.h,
                 coalesce(list_position(list_transform(w.rows, lambda r: abs(o.cy - r.c) <= least(o.h, r.h) * 0.5), true), len(w.rows) + 1) AS home
             FROM walk w JOIN o ON o.vec_id = w.vec_id AND o.n = w.n + 1)
-    ), done AS (SELECT vec_id, unnest(homes) AS home, unnest(range(1, 17)) AS n FROM walk WHERE n = 16)
+    ), done AS (SELECT w.vec_id, unnest(w.homes) AS home, unnest(range(1, len(w.homes) + 1)) AS n
+        FROM walk w JOIN embeddings e ON e.vec_id = w.vec_id WHERE w.n = len(e.embedding) // 4)
     SELECT d.vec_id, string_agg(CAST(o.i AS VARCHAR), ',' ORDER BY d.home, o.x, o.cy, o.i) AS places
     FROM done d JOIN o ON o.vec_id = d.vec_id AND o.n = d.n GROUP BY d.vec_id"""
 )
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = lambda i: F.abs(F.get(F.col("embedding"), i).cast("double"))
     boxes = F.transform(
-        F.sequence(F.lit(0), F.lit(15)),
+        F.sequence(F.lit(0), F.floor(F.size("embedding") / 4).cast("int") - 1),
         lambda i: F.struct(
             i.alias("i"), (cell(4 * i) * 300).alias("x"), (cell(4 * i + 1) * 60).alias("cy"), (cell(4 * i + 3) * 30).alias("h")
         ),

@@ -56,8 +56,8 @@ def verify_fields(check: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def verify_source(check: DataFrame, files: DataFrame) -> DataFrame:
-    """(script_id, ok): whether the info row names the file and the SHA-256 of its bytes."""
+    """(script_id, ok, actual): whether the info row names the file and the SHA-256 of its bytes, which is ``actual``."""
     info = check.where(F.col("id") == INFO_ID).select(F.col("name").alias("script_id"), F.col("text").alias("digest"))
     return files.select("script_id", F.sha2("content", 256).alias("actual")).join(info, "script_id", "left").select(
-        "script_id", F.coalesce(F.col("digest") == F.col("actual"), F.lit(False)).alias("ok")
+        "script_id", F.coalesce(F.col("digest") == F.col("actual"), F.lit(False)).alias("ok"), "actual"
     )

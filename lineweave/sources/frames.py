@@ -30,18 +30,30 @@ class Recogniser(Protocol):
     def alternatives(self, image: np.ndarray) -> Iterator[Reading | None]: ...
 
 
+#: Frames of a stretch; regions are listed by the stretches that they touch.
+STRETCH = 4096
+
+
 def ranged_frames(frames: DataFrame, regions: DataFrame) -> DataFrame:
     """Frames (video_id, frame_index, ...) inside regions (video_id, start_frame, end_frame).
 
-    The outer range of each video reaches the scan as a plain predicate where the regions are small
-    enough for dynamic pruning; the exact test is a semi-join.
+    A frame is compared with the regions of its stretch of STRETCH frames only, by an equi-join, so neither many
+    regions nor long videos multiply; small sets of regions are sent to the frames.
     """
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    touched = regions.where("start_frame < end_frame").select(
+        F.col("video_id").alias("_video"),
+        F.explode(F.sequence(stretch("start_frame"), F.floor((F.col("end_frame") - 1) / STRETCH))).alias("_stretch"),
+        "start_frame",
+        "end_frame",
+    )
     on = (
-        (F.col("f.video_id") == F.col("r.video_id"))
-        & (F.col("f.frame_index") >= F.col("r.start_frame"))
-        & (F.col("f.frame_index") < F.col("r.end_frame"))
+        (F.col("video_id") == F.col("_video"))
+        & (stretch("frame_index") == F.col("_stretch"))
+        & (F.col("frame_index") >= F.col("start_frame"))
+        & (F.col("frame_index") < F.col("end_frame"))
     )
-    return frames.alias("f").join(regions.alias("r"), on, "left_semi")
+    return frames.join(touched, on, "left_semi")
 
 
 def _masked(images: DataFrame, roi: tuple[float, float, float, float], kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
