@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from .session import ship
 from .sinks.ass import dialogue_lines, document, in_output_order, script_document, write_documents
 from .sinks.report import report, require_matches
 from .sources.scripts import script_files, script_lines
-from .streaming.run import align, captions
+from .streaming.run import align, captions, split_statistics
 
 LOG = logging.getLogger("lineweave")
 
@@ -69,7 +70,9 @@ def run_align(spark: SparkSession, given: argparse.Namespace) -> None:
         events.groupBy("script_id").agg(said.alias("lines")).join(pauses, "script_id", "left")
         .select(F.col("script_id").alias("video_id"), F.to_json(F.struct(F.lit(given.fps).alias("fps"), "lines", "gaps")).alias("meta"))
     )
-    results = align(frames, readings, meta, options).cache()
+    begun = time.monotonic()
+    results, counted = split_statistics(align(frames, readings, meta, options, with_stats=True).cache())
+    found_counted = None
     if given.captions == "off":
         found = captions(frames, readings, meta, options).limit(0)
     else:
@@ -85,8 +88,13 @@ def run_align(spark: SparkSession, given: argparse.Namespace) -> None:
         where = regions.groupBy("video_id").agg(listed.alias("regions")).select(
             "video_id", F.to_json(F.struct(F.lit(given.fps).alias("fps"), "regions")).alias("meta")
         )
-        found = captions(frames, readings, where, supplement_options(options, sections.get("Movie OCR"))).cache()
-    report(results, found, videos, {k: str(v) for k, v in vars(options).items()}).select(F.col("report").alias("value")).write.mode(
+        seen = captions(frames, readings, where, supplement_options(options, sections.get("Movie OCR")), with_stats=True).cache()
+        found, found_counted = split_statistics(seen)
+    numbers = results.count(), found.count()  # all is computed by now
+    elapsed = round(time.monotonic() - begun, 3)
+    LOG.info("%d lines and %d captions in %.1f s", *numbers, elapsed)
+    settings = {k: str(v) for k, v in vars(options).items()}
+    report(results, found, videos, settings, counted, found_counted, elapsed).select(F.col("report").alias("value")).write.mode(
         "overwrite"
     ).text(f"{given.output}.review")
     require_matches(results, found)

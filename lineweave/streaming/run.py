@@ -23,7 +23,7 @@ from .lines import LineAligner
 
 BOX = "struct<x0: int, y0: int, x1: int, y1: int>"
 ATTEMPT = f"struct<attempt: int, text: string, confidence: double, box: {BOX}, model: string>"
-ROWS = f"video_id string, frame_index long, meta string, h int, w int, edge binary, attempts array<{ATTEMPT}>, last boolean"
+ROWS = f"video_id string, frame_index long, meta string, h int, w int, edge binary, glyphs binary, attempts array<{ATTEMPT}>, last boolean"
 RESULTS = (
     "video_id string, idx int, text string, status string, reason string, start_frame long, start double, end_frame long, "
     "`end` double, end_reason string, ocr_text string, ocr_model string, ocr_confidence double, text_similarity double, "
@@ -68,18 +68,21 @@ def frame_of(row, fps: float) -> Frame:
         while len(seen) < a["attempt"]:
             seen.append(None)
         seen.append(Seen(a["text"], a["confidence"], (box["x0"], box["y0"], box["x1"], box["y1"]), a["model"] or ""))
-    return Frame(int(row.frame_index), row.frame_index / fps, int(row.h), int(row.w), bytes(row.edge), seen)
+    glyphs = getattr(row, "glyphs", None)
+    return Frame(int(row.frame_index), row.frame_index / fps, int(row.h), int(row.w), bytes(row.edge), seen, None if glyphs is None else bytes(glyphs))
 
 
 def frame_rows(frames: DataFrame, readings: DataFrame, meta: DataFrame) -> DataFrame:
-    """ROWS from frames (video_id, frame_index, h, w, edge), readings (…, attempt, text, confidence, box, model)
+    """ROWS from frames (video_id, frame_index, h, w, edge, glyphs?), readings (…, attempt, text, confidence, box, model)
     and meta (video_id, meta)."""
+    if "glyphs" not in frames.columns:
+        frames = frames.withColumn("glyphs", F.lit(None).cast("binary"))
     attempts = readings.groupBy("video_id", "frame_index").agg(
         F.array_sort(F.collect_list(F.struct("attempt", "text", "confidence", "box", "model"))).alias("attempts")
     )
     none = F.lit(None)
     shown = frames.join(attempts, ["video_id", "frame_index"], "left").select(
-        "video_id", "frame_index", none.cast("string").alias("meta"), "h", "w", "edge", "attempts", F.lit(False).alias("last")
+        "video_id", "frame_index", none.cast("string").alias("meta"), "h", "w", "edge", "glyphs", "attempts", F.lit(False).alias("last")
     )
     head = meta.select(
         "video_id",
@@ -88,19 +91,30 @@ def frame_rows(frames: DataFrame, readings: DataFrame, meta: DataFrame) -> DataF
         none.cast("int").alias("h"),
         none.cast("int").alias("w"),
         none.cast("binary").alias("edge"),
+        none.cast("binary").alias("glyphs"),
         none.cast(f"array<{ATTEMPT}>").alias("attempts"),
         F.lit(False).alias("last"),
     )
     return head.unionByName(shown)
 
 
-def _table(video_id: str, rows: list[dict], names: list[str]) -> pd.DataFrame:
+#: What a recording's machine counted, on the first row of its results (a row of its own if there are none).
+STATISTICS = "stats map<string, bigint>"
+
+
+def _table(video_id: str, rows: list[dict], names: list[str], stats: dict[str, int] | None = None) -> pd.DataFrame:
+    if stats is not None:
+        first, *rest = rows or [{}]
+        rows = [{**first, "stats": stats}, *rest]
     return pd.DataFrame([{**dict.fromkeys(names), **row, "video_id": video_id} for row in rows], columns=names).astype(object)
 
 
-def run_batch(rows: DataFrame, make: Callable[[dict], Machine], schema: str) -> DataFrame:
-    """Every recording's frames through a machine of its own, in order of frames."""
+def run_batch(rows: DataFrame, make: Callable[[dict], Machine], schema: str, with_stats: bool = False) -> DataFrame:
+    """Every recording's frames through a machine of its own, in order of frames; ``with_stats`` adds STATISTICS."""
     names = [c.strip("` ").split("`")[0].split(" ")[0] for c in schema.split(", ")]
+    if with_stats:
+        names, schema = [*names, "stats"], f"{schema}, {STATISTICS}"
+    counted = lambda machine: machine.stats if with_stats else None
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         video, machine = None, None
@@ -108,14 +122,14 @@ def run_batch(rows: DataFrame, make: Callable[[dict], Machine], schema: str) ->
             for row in batch.itertuples(index=False):
                 if row.video_id != video:
                     if machine is not None:
-                        yield _table(video, machine.close(), names)
+                        yield _table(video, machine.close(), names, counted(machine))
                     video, machine = row.video_id, None
                 if isinstance(row.meta, str):
                     machine = make(json.loads(row.meta))
                 elif machine is not None:
                     machine.feed(frame_of(row, machine.fps))
         if machine is not None:
-            yield _table(video, machine.close(), names)
+            yield _table(video, machine.close(), names, counted(machine))
 
     ordered = rows.repartition("video_id").sortWithinPartitions("video_id", "frame_index")
     return ordered.mapInPandas(stream, schema)
@@ -151,11 +165,19 @@ def run_stream(rows: DataFrame, make: Callable[[dict], Machine], schema: str) ->
     return rows.groupBy("video_id").applyInPandasWithState(update, schema, "state binary", "append", "NoTimeout")
 
 
-def align(frames: DataFrame, readings: DataFrame, meta: DataFrame, options: Options | None = None) -> DataFrame:
+def align(
+    frames: DataFrame, readings: DataFrame, meta: DataFrame, options: Options | None = None, with_stats: bool = False
+) -> DataFrame:
     """Times of script lines: one row of RESULTS per line of every recording."""
-    return run_batch(frame_rows(frames, readings, meta), line_machine(options or Options()), RESULTS)
+    return run_batch(frame_rows(frames, readings, meta), line_machine(options or Options()), RESULTS, with_stats)
 
 
-def captions(frames: DataFrame, readings: DataFrame, meta: DataFrame, options: Options) -> DataFrame:
+def captions(frames: DataFrame, readings: DataFrame, meta: DataFrame, options: Options, with_stats: bool = False) -> DataFrame:
     """Captions inside the regions of every recording, as rows of CAPTIONS."""
-    return run_batch(frame_rows(frames, readings, meta), caption_machine(options), CAPTIONS)
+    return run_batch(frame_rows(frames, readings, meta), caption_machine(options), CAPTIONS, with_stats)
+
+
+def split_statistics(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results without their statistics, and the statistics (video_id, stats) of each recording."""
+    counted = results.where("stats IS NOT NULL").select("video_id", "stats")
+    return results.where("status IS NOT NULL").drop("stats"), counted

@@ -81,7 +81,7 @@ def test_script_seconds_round_half_to_even(spark):
 def test_options_are_validated():
     assert supplement_options(Options()).min_confidence == 0.85
     assert Options.read({"lookahead": "3", "roi": "[0, 0, 1, 1]"}).lookahead == 3
-    for bad in ({"roi": "[1, 0, 0, 1]"}, {"ocr_interval": "0"}, {"recheck_interval": "0.1"}, {"min_similarity": "1.5"}, {"confirmations": "0"}):
+    for bad in ({"roi": "[1, 0, 0, 1]"}, {"ocr_interval": "0"}, {"recheck_interval": "0.1"}, {"min_similarity": "1.5"}, {"confirmations": "0"}, {"candidate_margin": "0"}):
         with pytest.raises(ValueError):
             Options.read(bad)
     with pytest.raises(ValueError):

@@ -158,3 +158,91 @@ def test_report_leaves_out_what_is_missing(spark):
     require_matches(results, found)
     with pytest.raises(NothingMatched):
         require_matches(results.where("idx = 1"), found)
+
+
+def onset_plain(hits, anchor, k):
+    """Walk back from the anchor over the frames up to it."""
+    start, misses = anchor, 0
+    for f in sorted((f for f in hits if f <= anchor), reverse=True):
+        if hits[f]:
+            start, misses = f, 0
+        else:
+            misses += 1
+            if misses >= k:
+                break
+    return start
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_onsets_against_a_walk(spark, k):
+    rng = random.Random(k)
+    frames, anchors, want = [], [], set()
+    for v in range(30):
+        hits = {f: rng.random() < 0.5 for f in range(0, 40) if rng.random() < 0.9}
+        frames += [(v, f, h) for f, h in hits.items()]
+        for a in sorted({rng.randrange(45) for _ in range(12)}):  # some on no frame, some behind the last
+            anchors.append((v, a))
+            want.add((v, a, onset_plain(hits, a, k)))
+    got = windows.backward_onset(
+        spark.createDataFrame(frames, "v int, f long, hit boolean").repartition(3), spark.createDataFrame(anchors, "v int, anchor long"), k, "v", "f"
+    ).collect()
+    assert {tuple(r) for r in got} == want
+    assert len(got) == len(want)
+
+
+def test_throttle_over_batches_and_keys(spark):
+    rng = random.Random(2)
+    rows = [(f"k{rng.randrange(5)}", rng.randrange(10_000)) for _ in range(3000)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {tuple(r) for r in windows.greedy_throttle(spark.createDataFrame(rows, "k string, us long"), "us", 100, "k").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = set()
+    for key in {k for k, _ in rows}:
+        last = None
+        for t in sorted(t for k, t in rows if k == key):
+            if last is None or t - last >= 100:
+                want.add((key, t))
+                last = t
+    assert got == want
+
+
+def test_barriers(spark):
+    rng = random.Random(3)
+    readings_ = [(rng.randrange(4), rng.randrange(20), i) for i in range(200)] + [(9, 3, 200)]
+    gaps = [(k, b) for k in range(4) for b in rng.sample(range(20), 4)]
+    from lineweave.operators.match import with_barrier
+
+    got = with_barrier(
+        spark.createDataFrame(readings_, "k int, cursor int, n int"), spark.createDataFrame(gaps, "k int, before_idx int"), "k"
+    ).collect()
+    want = {n: min((b for g, b in gaps if g == k and b > c), default=None) for k, c, n in readings_}
+    assert {r.n: r.limit for r in got} == want
+    assert len(got) == len(readings_)
+
+
+def test_ranged_frames_over_stretches(spark, monkeypatch):
+    from lineweave.sources import frames as scans
+
+    monkeypatch.setattr(scans, "STRETCH", 16)
+    rng = random.Random(4)
+    frames = [(v, f) for v in "ab" for f in range(300)]
+    regions = [(v, s, s + rng.randrange(0, 60)) for v in "ab" for s in (rng.randrange(280) for _ in range(6))]
+    got = scans.ranged_frames(
+        spark.createDataFrame(frames, "video_id string, frame_index long"),
+        spark.createDataFrame(regions, "video_id string, start_frame long, end_frame long"),
+    ).collect()
+    want = {(v, f) for v, f in frames if any(v == w and s <= f < e for w, s, e in regions)}
+    assert {tuple(r) for r in got} == want
+    assert len(got) == len(want)
+
+
+def test_subtract_keeps_what_windows_carry(spark):
+    w = spark.createDataFrame([(1, 0, 10, ["a"], "x"), (1, 10, 14, ["b"], None), (2, 5, 9, None, "y")], WINDOW)
+    k = spark.createDataFrame([(1, 2, 3), (1, 2, 5), (1, 12, 12), (3, 0, 9)], "video_id int, start_frame long, end_frame long")
+    got = sorted(intervals.subtract(w, k).collect(), key=lambda r: (r.video_id, r.start_frame))
+    assert [(r.video_id, r.start_frame, r.end_frame, r.assets, r.bounds) for r in got] == [
+        (1, 0, 2, ["a"], "x"), (1, 5, 10, ["a"], "x"), (1, 10, 12, ["b"], None), (1, 12, 14, ["b"], None), (2, 5, 9, None, "y"),
+    ]

@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 
 from lineweave.config import Options, supplement_options
@@ -210,7 +211,7 @@ def test_a_stream_gives_what_a_batch_gives(spark, tmp_path):
         "video_id", "frame_index", "CAST(NULL AS STRING) AS meta", "CAST(NULL AS INT) AS h", "CAST(NULL AS INT) AS w",
         "CAST(NULL AS BINARY) AS edge", "CAST(NULL AS " + rows.schema["attempts"].dataType.simpleString() + ") AS attempts", "true AS last",
     )
-    rows.unionByName(closing).repartition(3).write.parquet(str(tmp_path / "in"))
+    rows.unionByName(closing, allowMissingColumns=True).repartition(3).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = run_stream(source, line_machine(Options()), RESULTS)
     query = (
@@ -223,3 +224,51 @@ def test_a_stream_gives_what_a_batch_gives(spark, tmp_path):
     columns = ["video_id", "idx", "status", "start_frame", "end_frame", "end_reason"]
     batch = run_batch(rows, line_machine(Options()), RESULTS)
     assert sorted(map(str, spark.table("aligned").select(columns).collect())) == sorted(map(str, batch.select(columns).collect()))
+
+
+def placed_plain(shown, lines, frames, k, gaps):
+    """Line after line, each looked for from where the one before it ended."""
+    out, cursor = [], 0
+    for line in range(lines):
+        cursor += gaps.get(line, 0)
+        start = next((f for f in range(cursor, frames) if shown[line][f]), None)
+        if start is None:
+            return out
+        end = frames
+        for f in range(start + k, frames):
+            if not any(shown[line][f - k + 1 : f + 1]):
+                end = f - k + 1
+                break
+        out.append(Placed(line, start, end))
+        cursor = end
+    return out
+
+
+def test_lines_are_placed_as_by_looking_again(spark):
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        k, frames = int(rng.integers(1, 5)), int(rng.integers(1, 60))
+        shown = rng.random((5, frames)) < rng.choice([0.2, 0.5, 0.8])
+        gaps = {int(i): int(rng.integers(0, 6)) for i in rng.integers(0, 5, 2)}
+        want = placed_plain(shown.tolist(), 5, frames, k, gaps)
+        assert list(place_lines(lambda line, f: shown[line][f], 5, frames, k, gaps, strict=False)) == want
+
+
+def test_statistics_and_glyph_masks_come_through(spark):
+    from lineweave.config import supplement_options
+    from lineweave.streaming.run import align, captions, split_statistics
+
+    frames, readings, meta = _tables(spark, 2)
+    plain = align(frames, readings, meta).collect()
+    results, counted = split_statistics(align(frames, readings, meta, with_stats=True).cache())
+    assert sorted(map(str, results.collect())) == sorted(map(str, plain))
+    stats = {r.video_id: r.stats for r in counted.collect()}
+    assert len(stats) == 2
+    assert all(s["frames"] > 0 and s["ocr_calls"] > 0 and s["peak_buffer_bytes"] >= s["peak_buffer_frames"] > 0 for s in stats.values())
+    # a recording without any result still says what was counted
+    found, counted = split_statistics(captions(frames, readings.limit(0), meta, supplement_options(Options()), with_stats=True))
+    assert found.count() == 0
+    assert {r.video_id for r in counted.collect()} == set(stats)
+    rows = frame_rows(frames.withColumn("glyphs", frames["edge"]), readings, meta).where("frame_index = 3").collect()
+    assert rows
+    assert all(r.glyphs == r.edge for r in rows)
