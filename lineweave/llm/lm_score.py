@@ -9,7 +9,7 @@ P(word | history) = P(class | history) * P(subclass | class, history) * P(word |
   word), the trigram context (last two), and the skip features (word before the last, and the one
   before that).  P(subclass | class, history) is one over features of the class with the bigram context and with the
   first skip context.  Their weights grow with the corpus: ``buckets`` for each feature, a power of two near the number of
-  training tokens over TOKENS_A_BUCKET, from LEAST to MOST (MOST is reached at about 2 GB of text: every task holds
+  training tokens over TOKENS_A_BUCKET, from LEAST to MOST (MOST is reached at about 4 GB of text: every task holds
   the weights, so they must end somewhere; the counts below do not).
 * The weights are trained by distributed updates: the training texts are dealt into ROUNDS parts, and in each round
   every task sums observed and expected class counts per feature over its texts (the gradient is their
@@ -42,18 +42,18 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, expect_columns, id_remainder, mix64, row_windows, stored, string_bytes, token_spans, word_hashes
 
-SINGLES = 31
-GROUPS = 32
+SINGLES = 15
+GROUPS = 16
 CLASSES = SINGLES + GROUPS + 1
 END_CLASS = CLASSES - 1
 END = np.uint64(0x5DEECE66D2545F49)
 SUBS = 32
 #: Features of the class: contexts of ``contexts``; those of the subclass, with that many buckets times SUB_BUCKETS.
 FEATURES = 4
-SUB_FEATURES = (0, 2)
+SUB_FEATURES = (0,)
 SUB_BUCKETS = 4
 LEAST, MOST = 1 << 10, 1 << 14
-TOKENS_A_BUCKET = 16_384
+TOKENS_A_BUCKET = 32_768
 ROUNDS = 4
 RATE = 0.35
 SMOOTH = 2.0
@@ -350,8 +350,10 @@ class Weights:
 
 def _tally(sums: np.ndarray, active: np.ndarray, p: np.ndarray) -> None:
     """Add the rows of ``p`` to the rows of ``sums`` that are active, feature by feature."""
-    for row in active:
-        order = np.argsort(row, kind="stable")
+    size = len(sums) // len(active)
+    for k, row in enumerate(active):
+        # a feature has 2**16 rows at most, and numbers of 16 bits are sorted in linear time
+        order = np.argsort((row - k * size).astype(np.uint16), kind="stable")
         row = row[order]
         begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         sums[row[begin]] += np.add.reduceat(p[order], begin, axis=0)
