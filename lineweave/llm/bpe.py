@@ -25,19 +25,27 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WINDOW, expect_columns
+from .common import expect_columns, trimmed
 
 #: Longest piece (bytes) that goes into a matrix.
 LONG = 512
 #: Cells of a matrix.
 CELLS = 1 << 18
 #: Pieces a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Characters that are cut into pieces at once.
+WINDOW = 1 << 19
 PAD = -1
 NONE = np.int32(2**31 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Byte strings and their ranks from a file with a base64 string and a number on each line."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())}
+
+
 @dataclass
 class Vocabulary:
     """Ranks of byte strings, the pair table derived from them, and the bytes of all ids."""
@@ -53,8 +61,7 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
-        with open(path, "rb") as lines:
-            return cls({base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())})
+        return cls(read_ranks(path))
 
     def __post_init__(self) -> None:
         ranks = self.ranks
@@ -300,4 +307,4 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> D
 
     rows = expect_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(run, schema + ", ids array<long>" * ids)
+    return rows.mapInArrow(trimmed(run), schema + ", ids array<long>" * ids)
