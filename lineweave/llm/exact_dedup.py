@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, expect_columns, join_hot, marked_rows, row_windows, stored, string_bytes, text_or_empty
+from .common import durable, expect_columns, join_hot, marked_rows, row_windows, stored, string_bytes, text_or_empty, trimmed
 
 #: The two largest primes under 2**31 and a base for each (fixed values).
 PRIMES = (2147483647, 2147483629)
 BASES = (1402024253, 715225741)
 CHUNK = 1 << 16
 #: Rows of one group that are compared against one copy of its first row's chunks.
-PER_SALT = 512
+PER_SALT = 128
 NULL_ID = -(1 << 63)
 #: Bytes of texts that a task keeps to know rows that repeat an id and a text.
 HELD_BYTES = 32 << 20
@@ -195,7 +195,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.xxhash64(text_or_empty()).alias("text_key"),
     )
     signed = durable(
-        rows.mapInArrow(_sign, "doc_id long, text_key long, fp long, n_bytes long, sha binary")
+        rows.mapInArrow(trimmed(_sign), "doc_id long, text_key long, fp long, n_bytes long, sha binary")
     )
     groups = (
         signed.groupBy("fp", "n_bytes")
@@ -210,11 +210,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
     several, _ = marked_rows(rows, members.select("text_key"), "text_key")
     pieces = (
-        several.mapInArrow(_once, "doc_id long, text string, text_key long")
+        several.mapInArrow(trimmed(_once), "doc_id long, text string, text_key long")
         .join(members, ["doc_id", "text_key"])
         .repartition("doc_id", "text_key")
         .mapInArrow(
-            _chunks,
+            trimmed(_chunks),
             "fp long, n_bytes long, salt int, chunk_no int, other boolean, doc_id long, text_key long, chunk binary",
         )
     )
