@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,16 +57,32 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: What a task that writes such a table holds.
+ROW_GROUP = 16 << 20
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
     spark = df.sparkSession
     path = shared_folder(spark, "table")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.parquet(path)
 
 
+#: Rows of a batch that goes to a Python worker.  Texts are long, so Spark's default of 10,000 is too many to hold several times.
+BATCH_ROWS = 2000
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session send BATCH_ROWS rows to Python at once, unless it is set to fewer already."""
+    if int(spark.conf.get(_RECORDS)) > BATCH_ROWS:
+        spark.conf.set(_RECORDS, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -179,6 +195,26 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` whose worker gives back at the end what it does not hold any more.
+
+    Workers stay for later tasks; what their allocators keep would count against the executor meanwhile."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def expect_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns go on, so that others, whatever their names, cannot clash."""
     return df.select(*[df[n] for n in names])
@@ -202,81 +238,47 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))
 
 
-class KeyFilter:
-    """A Bloom filter of 64-bit keys, of MOST bits at most; it never denies a key that is in it."""
-
-    MOST = 1 << 27
-    BITS_A_KEY = 16
-    PROBES = 4
-    PARTS = 64
-
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits = bits
-
-    @staticmethod
-    def places(keys: np.ndarray, size: int) -> np.ndarray:
-        h = mix64(keys.astype(np.int64).view(np.uint64))
-        step = (h >> np.uint64(32)) | np.uint64(1)
-        return np.concatenate([(h + np.uint64(i) * step) & np.uint64(size - 1) for i in range(KeyFilter.PROBES)]).astype(np.int64)
-
-    @classmethod
-    def of(cls, keys: DataFrame) -> KeyFilter:
-        """Over the one column of ``keys`` (long).  Tasks set bits, which meet in PARTS pieces of the filter."""
-        name = keys.columns[0]
-        size = min(cls.MOST, max(1 << 13, 1 << int(keys.count() * cls.BITS_A_KEY).bit_length()))
-        piece = size // 8 // cls.PARTS
-
-        def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for part, bits in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                    found = np.frombuffer(bits, dtype=np.uint8)
-                    sums[part] = sums[part] | found if part in sums else found
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "bits"]
-            )
-
-        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(size, dtype=bool)
-            for batch in batches:
-                bits[cls.places(batch.column(0).to_numpy(), size)] = True
-            packed = np.packbits(bits).reshape(cls.PARTS, piece)
-            some = np.flatnonzero(packed.any(axis=1)).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([packed[i].tobytes() for i in some], pa.binary())], names=["part", "bits"]
-            )
-
-        parts = (
-            keys.where(F.col(name).isNotNull())
-            .mapInArrow(fill, "part int, bits binary")
-            .repartition(cls.PARTS, "part")
-            .mapInArrow(unite, "part int, bits binary")
-            .collect()  # the filter: MOST / 8 bytes at most
-        )
-        whole = np.zeros((cls.PARTS, piece), dtype=np.uint8)
-        for row in parts:
-            whole[row["part"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
-        return cls(whole.ravel())
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        at = self.places(keys, len(self.bits) * 8)
-        hit = (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-        return hit.reshape(self.PROBES, -1).all(axis=0)
+#: Bits of a key filter: of the whole at most, and for each key.
+FILTER_BITS, BITS_A_KEY = 1 << 27, 16
+PROBES = 4
+
+
+def _filter_bits(key: Column, size: int) -> list[Column]:
+    """The PROBES bits of a filter of ``size`` bits that a key (long) stands for."""
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(size).cast("long")) for i in range(PROBES)]
+
+
+def key_filter(keys: DataFrame, size: int) -> DataFrame:
+    """A Bloom filter of the one column of ``keys`` (long): one row, ``words`` with ``size`` bits.
+
+    Bits are set by partial aggregates and meet word by word; what is collected has FILTER_BITS bits at most."""
+    bit = keys.select(F.explode(F.array(*_filter_bits(F.col(keys.columns[0]), size))).alias("bit"))
+    found = (
+        bit.select(F.shiftright("bit", 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
+        .groupBy("at")
+        .agg(F.bit_or("mask").alias("word"))
+        .toArrow()
+    )
+    words = np.zeros(size // 64, dtype=np.int64)
+    words[found.column("at").to_numpy()] = found.column("word").to_numpy()
+    return keys.sparkSession.createDataFrame(pa.table({"words": pa.ListArray.from_arrays([0, len(words)], pa.array(words))}))
 
 
 def marked_rows(rows: DataFrame, marked: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` in two: those whose ``key`` may be among the keys ``marked``, and those whose key certainly is not.
+    """``rows`` in two: those whose ``key`` may be among the keys ``marked`` (one column, long), and those whose key
+    certainly is not.
 
-    What is to be done with few rows is done without moving the others.  Beyond the size of the filter all rows may
-    be marked, which costs time only.
+    What is to be done with few rows is done without moving the others.  Where the filter ends, at FILTER_BITS, ever more
+    rows are taken for marked, which costs time only.
     """
-    held = rows.sparkSession.sparkContext.broadcast(KeyFilter.of(marked).bits)
+    size = min(FILTER_BITS, max(1 << 12, 1 << int(marked.count() * BITS_A_KEY).bit_length()))
+    words = key_filter(marked, size).scalar()
 
-    @F.pandas_udf("boolean")
-    def may(keys: pd.Series) -> pd.Series:
-        return pd.Series(KeyFilter(held.value).holds(keys.to_numpy()))
+    def is_set(bit: Column) -> Column:
+        word = F.get(words, F.shiftright(bit, 6).cast("int"))
+        return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63).cast("long")).cast("int"))) != 0
 
-    names = rows.columns
-    # told apart by the key alone, so that texts do not pass through Python
-    flag = may(F.col(f"`{key}`"))
-    return tuple(rows.withColumn("__may", flag).where(want).select(*[f"`{n}`" for n in names]) for want in ("__may", "NOT __may"))
+    may = F.lit(True)
+    for bit in _filter_bits(F.col(f"`{key}`"), size):
+        may = may & is_set(bit)
+    return rows.where(may), rows.where(~may)

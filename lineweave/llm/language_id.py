@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import expect_columns, id_remainder, mix64
+from .common import expect_columns, id_remainder, mix64, trimmed
 
 ORDER = 3
 PROFILE = 300
@@ -32,7 +32,7 @@ UNKNOWN = "und"
 #: A text with FEW distinct n-grams or more that is further away than FAR is in none of the learned languages.
 FAR, FEW = 0.7, 100
 #: Characters handled at once.
-CHARS = 1 << 19
+CHARS = 1 << 18
 #: N-grams of one language that a task holds before it passes them on.
 HELD = 1 << 20
 
@@ -190,7 +190,7 @@ def learn_profiles(docs: DataFrame) -> dict[str, list[int]]:
     taught = (
         expect_columns(docs, "text", "lang")
         .where("lang IS NOT NULL AND text IS NOT NULL")
-        .mapInArrow(_teach, "lang string, key long, n long")
+        .mapInArrow(trimmed(_teach), "lang string, key long, n long")
         .groupBy("lang", "key")
         .agg(F.sum("n").alias("n"))
     )
@@ -282,7 +282,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], into: tuple[str, ..
                 names=[*names, *into],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def held_out(folds: int = 5, fold: int = 0) -> Column:

@@ -40,7 +40,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, expect_columns, id_remainder, mix64, row_windows, stored, string_bytes, token_spans, word_hashes
+from .common import LOWER_BYTES, expect_columns, id_remainder, mix64, row_windows, stored, string_bytes, token_spans, trimmed, word_hashes
 
 SINGLES = 15
 GROUPS = 16
@@ -253,7 +253,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_words(train: DataFrame) -> DataFrame:
     """(h, g, n): every token of ``train`` (text) with its spelling group (-1: the end) and count."""
-    return train.select("text").mapInArrow(_count, "h long, g int, n long").groupBy("h").agg(
+    return train.select("text").mapInArrow(trimmed(_count), "h long, g int, n long").groupBy("h").agg(
         F.max("g").alias("g"), F.sum("n").alias("n")
     )
 
@@ -454,7 +454,7 @@ def train_weights(train: DataFrame, vocabulary: Vocabulary, part: Column) -> Wei
             train.where(part == r)
             .select("text")
             .coalesce(tasks)
-            .mapInArrow(_gradient(vocabulary, held, branches), _BLOCK)
+            .mapInArrow(trimmed(_gradient(vocabulary, held, branches)), _BLOCK)
             # a tree: the tasks' sums meet in branches first, the branches' then in the blocks
             .repartition(branches * 4, "branch", F.col("block") % 4)
             .mapInArrow(_add_up, _BLOCK)
@@ -560,7 +560,7 @@ def lm_score(docs: DataFrame, held_out: Column | None = None, part: Column | Non
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
         "text",
-    ).mapInArrow(_score(known_to_all), _SCORES)
+    ).mapInArrow(trimmed(_score(known_to_all)), _SCORES)
     rarer = counts.where("g >= 0").select("h", F.col("n").alias("c"))
     shares = docs.sparkSession.createDataFrame(
         [

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, WINDOW, durable, expect_columns, join_hot, stored, string_bytes, text_or_empty
+from .common import LOWER_BYTES, WINDOW, durable, expect_columns, join_hot, stored, string_bytes, text_or_empty, trimmed
 from .components import connected_components, name_components
 from .near_text import near_groups
 
@@ -166,7 +166,7 @@ def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCK
     rows = expect_columns(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_key"), "text"
     )
-    signed = durable(rows.mapInArrow(_sign, "doc_id long, text_key long, fp long"))
+    signed = durable(rows.mapInArrow(trimmed(_sign), "doc_id long, text_key long, fp long"))
     classes = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     linked = connected_components(ring_links(classes.select("fp"), max_bits, bucket))
     named = name_components(linked, classes.withColumnRenamed("fp", "node"), "first").withColumnRenamed("node", "fp")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import expect_columns, join_hot, marked_rows, stored, text_or_empty
+from .common import expect_columns, join_hot, marked_rows, stored, text_or_empty, trimmed
 
 #: What the registered query and the pipeline spare: stock phrases and license lines of clean documents.
 SPARED_BELOW = 20
@@ -227,7 +227,7 @@ def later_occurrences(rows: DataFrame, min_words: int) -> DataFrame:
     words or more; repeats: (unit, source, words) of each, source being the document of the first occurrence."""
     found = stored(
         rows.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), F.col("_text").alias("text")).mapInArrow(
-            _emit, _UNITS
+            trimmed(_emit), _UNITS
         )
     )
     place = F.struct("doc_id", "text_key", "unit")
@@ -285,7 +285,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 1, keep: list[str] | None
     cut = (
         touched.join(repeats, ["_id", "_key"], "left")
         .select(*keep, F.col("_text").alias("text"), "repeats")
-        .mapInArrow(_cutter(min_words, keep), schema)
+        .mapInArrow(trimmed(_cutter(min_words, keep)), schema)
     )
     whole = F.struct(F.lit(0).cast("long").alias("start"), F.length("_text").cast("long").alias("end"))
     same = untouched.select(
