@@ -30,8 +30,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        larger = F.count_if(F.col("b") > F.col("a")).alias("n")
+        least = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), larger).where("n > 0"))
+        # a node may be linked with a third of all others
+        pairs = join_hot(both.where("b > a"), least, ["a"], "n")
+        large = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
