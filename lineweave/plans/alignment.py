@@ -162,7 +162,7 @@ def evidence_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 # screen while 3 is added to it, without a blank frame between them.
 _SHOWN = {0: (2, 8), 1: (2, 22), 2: (2, PER_LINE), 3: (0, 22)}
 #: Frames of line 4 n - 1 in which line 4 n is shown too early; the pause reaches over them.
-_EARLY, _PAUSE = (22, 26), 0.5
+_EARLY, _PAUSE = (25, 30), 0.8
 SCENE_OPTIONS = Options(confirmations=5)
 
 
