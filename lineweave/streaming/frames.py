@@ -35,10 +35,12 @@ class Frame:
     edge: bytes
     attempts: list[Seen | None] = field(default_factory=list)
     glyphs: bytes | None = None
+    #: The edges unpacked, where a whole batch was.
+    unpacked: np.ndarray | None = None
 
     @property
     def mask(self) -> np.ndarray:
-        return unpack_mask(self.edge, self.h, self.w)
+        return unpack_mask(self.edge, self.h, self.w) if self.unpacked is None else self.unpacked
 
     @property
     def signature(self) -> np.ndarray:

@@ -12,9 +12,13 @@ import pickle
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..config import Options
 from .captions import CaptionExtractor, Region
@@ -38,6 +42,7 @@ CAPTIONS = (
 
 class Machine(Protocol):
     fps: float
+    stats: dict[str, int]
 
     def feed(self, frame: Frame) -> None: ...
 
@@ -61,15 +66,20 @@ def caption_machine(options: Options) -> Callable[[dict], Machine]:
     return make
 
 
-def frame_of(row, fps: float) -> Frame:
+def seen_of(attempts) -> list[Seen | None]:
+    """Attempts by their numbers, None where one is missing."""
     seen: list[Seen | None] = []
-    for a in row.attempts if row.attempts is not None else []:
+    for a in attempts if attempts is not None else []:
         box = a["box"]
-        while len(seen) < a["attempt"]:
-            seen.append(None)
+        seen.extend([None] * (a["attempt"] - len(seen)))
         seen.append(Seen(a["text"], a["confidence"], (box["x0"], box["y0"], box["x1"], box["y1"]), a["model"] or ""))
+    return seen
+
+
+def frame_of(row, fps: float) -> Frame:
     glyphs = getattr(row, "glyphs", None)
-    return Frame(int(row.frame_index), row.frame_index / fps, int(row.h), int(row.w), bytes(row.edge), seen, None if glyphs is None else bytes(glyphs))
+    glyphs = None if glyphs is None else bytes(glyphs)
+    return Frame(int(row.frame_index), row.frame_index / fps, int(row.h), int(row.w), bytes(row.edge), seen_of(row.attempts), glyphs)
 
 
 def frame_rows(frames: DataFrame, readings: DataFrame, meta: DataFrame) -> DataFrame:
@@ -102,37 +112,65 @@ def frame_rows(frames: DataFrame, readings: DataFrame, meta: DataFrame) -> DataF
 STATISTICS = "stats map<string, bigint>"
 
 
-def _table(video_id: str, rows: list[dict], names: list[str], stats: dict[str, int] | None = None) -> pd.DataFrame:
-    if stats is not None:
-        first, *rest = rows or [{}]
-        rows = [{**first, "stats": stats}, *rest]
+def _table(video_id: str, rows: list[dict], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame([{**dict.fromkeys(names), **row, "video_id": video_id} for row in rows], columns=names).astype(object)
 
 
+#: Frames whose masks are unpacked at once; a mask may have 100,000 pixels and more, a byte each.
+BLOCK = 64
+
+
+def unpacked_masks(batch: pa.RecordBatch) -> list[np.ndarray | None]:
+    """The edge masks of a batch, those of one size in one go; None where there is none."""
+    masks: list[np.ndarray | None] = [None] * batch.num_rows
+    edges = batch.column("edge").to_pylist()
+    by_size: dict[tuple[int, int], list[int]] = {}
+    for i, size in enumerate(zip(batch.column("h").to_pylist(), batch.column("w").to_pylist(), strict=True)):
+        if edges[i] is not None:
+            by_size.setdefault(size, []).append(i)
+    for (h, w), places in by_size.items():
+        raw = np.frombuffer(b"".join(edges[i] for i in places), dtype=np.uint8).reshape(len(places), -1)
+        bits = np.unpackbits(raw, axis=1, count=h * w).view(bool).reshape(-1, h, w)
+        for i, mask in zip(places, bits, strict=True):
+            masks[i] = mask
+    return masks
+
+
 def run_batch(rows: DataFrame, make: Callable[[dict], Machine], schema: str, with_stats: bool = False) -> DataFrame:
-    """Every recording's frames through a machine of its own, in order of frames; ``with_stats`` adds STATISTICS."""
-    names = [c.strip("` ").split("`")[0].split(" ")[0] for c in schema.split(", ")]
+    """Every recording's frames through a machine of its own, in order of frames; ``with_stats`` adds STATISTICS.
+
+    Masks are unpacked BLOCK at a time, and readings become objects on the frames where the machine may ask for them."""
     if with_stats:
-        names, schema = [*names, "stats"], f"{schema}, {STATISTICS}"
-    counted = lambda machine: machine.stats if with_stats else None
+        schema = f"{schema}, {STATISTICS}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def results(video: str, machine: Machine) -> pa.RecordBatch:
+        found = [{**row, "video_id": video} for row in machine.close()]
+        if with_stats:
+            first, *rest = found or [{"video_id": video}]
+            found = [{**first, "stats": list(machine.stats.items())}, *rest]
+        return pa.RecordBatch.from_pylist(found, schema=arrow)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         video, machine = None, None
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row.video_id != video:
+        for batch in (batch.slice(at, BLOCK) for batch in batches for at in range(0, batch.num_rows, BLOCK)):
+            masks = unpacked_masks(batch)
+            names = ("video_id", "frame_index", "meta", "h", "w", "edge", "glyphs", "attempts")
+            columns = (batch.column(n).to_pylist() for n in names)
+            for mask, here, index, meta, h, w, edge, glyphs, attempts in zip(masks, *columns, strict=True):
+                if here != video:
                     if machine is not None:
-                        yield _table(video, machine.close(), names, counted(machine))
-                    video, machine = row.video_id, None
-                if isinstance(row.meta, str):
-                    machine = make(json.loads(row.meta))
+                        yield results(video, machine)
+                    video, machine = here, None
+                if meta is not None:
+                    machine = make(json.loads(meta))
                 elif machine is not None:
-                    machine.feed(frame_of(row, machine.fps))
+                    machine.feed(Frame(index, index / machine.fps, h, w, edge, seen_of(attempts), glyphs, mask))
         if machine is not None:
-            yield _table(video, machine.close(), names, counted(machine))
+            yield results(video, machine)
 
     ordered = rows.repartition("video_id").sortWithinPartitions("video_id", "frame_index")
-    return ordered.mapInPandas(stream, schema)
+    return ordered.mapInArrow(stream, schema)
 
 
 def run_stream(rows: DataFrame, make: Callable[[dict], Machine], schema: str) -> DataFrame:
