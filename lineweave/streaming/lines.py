@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -45,8 +46,17 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+@lru_cache(maxsize=1024)
 def likeness(a: str, b: str) -> float:
-    return 1 - edit_distance(a, b) / max(len(a), len(b)) if a and b else 0.0
+    """A line is read many times, often in the same words, so the last results are kept."""
+    if not a or not b:
+        return 0.0
+    return 1.0 if a == b else 1 - edit_distance(a, b) / max(len(a), len(b))
+
+
+def most_alike(a: str, b: str) -> float:
+    """What ``likeness`` cannot exceed, by the lengths alone."""
+    return min(len(a), len(b)) / max(len(a), len(b))
 
 
 def choose(read: str, lines: Sequence[str], first: int, end: int, options: Options) -> tuple[int, float] | None:
@@ -54,7 +64,10 @@ def choose(read: str, lines: Sequence[str], first: int, end: int, options: Optio
 
     All texts are in matching form.
     """
-    scores = [(likeness(read, lines[i]), i) for i in range(first, min(end, len(lines))) if lines[i]] if read else []
+    # a score under this can neither win nor come too close to a winner
+    least = options.min_similarity - options.candidate_margin - 1e-9
+    near = [i for i in range(first, min(end, len(lines))) if read and lines[i] and most_alike(read, lines[i]) >= least]
+    scores = [(likeness(read, lines[i]), i) for i in near]
     if not scores:
         return None
     score, index = max(scores, key=lambda s: (s[0], -s[1]))
