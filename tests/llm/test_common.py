@@ -33,3 +33,15 @@ def test_join_hot_is_a_join(spark, monkeypatch):
     assert got == Counter(tuple(r) for r in rows.join(groups, "k").select("k", "id", "n", "name").collect())
     got = join_hot(rows, groups, ["k"], "n", "left")
     assert got.count() == 3000
+
+
+def test_batches_are_bounded_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in ((10_000, common.BATCH_ROWS), (7, 7)):
+            spark.conf.set(name, given)
+            common.bounded_batches(spark)
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)
