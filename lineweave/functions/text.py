@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,19 +23,24 @@ FULL_WIDTH = "＼｛｝"
 DEFAULT_SPEAKER = "マネージャー"
 USER_TAG = "{user}"
 
-_KANA = str.maketrans(SMALL_KANA, LARGE_KANA)
+@cache
+def _dropped(fold_kana: bool) -> dict[int, int | None]:
+    """A translation table without white space and punctuation (Unicode category P); small kana become large if asked for."""
+    table: dict[int, int | None] = {
+        i: None for i, c in enumerate(map(chr, range(sys.maxunicode + 1))) if c.isspace() or unicodedata.category(c)[0] == "P"
+    }
+    return table | (str.maketrans(SMALL_KANA, LARGE_KANA) if fold_kana else {})
 
 
 def bare(text: str) -> str:
-    """NFKC without white space and punctuation (Unicode category P)."""
-    composed = unicodedata.normalize("NFKC", text)
-    return "".join(c for c in composed if not (c.isspace() or unicodedata.category(c)[0] == "P"))
+    """NFKC without white space and punctuation."""
+    return unicodedata.normalize("NFKC", text).translate(_dropped(False))
 
 
 def match_form(text: str) -> str:
     """The form in which readings and script lines are compared."""
-    plain = unicodedata.normalize("NFKC", text.replace(r"\N", "").replace(r"\n", ""))
-    return "".join(c for c in plain.translate(_KANA) if not (c.isspace() or unicodedata.category(c)[0] == "P"))
+    plain = text.replace(r"\N", "").replace(r"\n", "")
+    return unicodedata.normalize("NFKC", plain).translate(_dropped(True))
 
 
 @F.pandas_udf(StringType())
