@@ -1,20 +1,22 @@
 """Groups of near-equal texts: SimHash with pigeonring filtering, decided by similarity of 5-word shingles.
 
 This is the form of the SimHash operator for a given similarity.  At a Jaccard similarity of 0.8, 64-bit
-fingerprints over all shingles differ in up to 12 bits (measured on the sample texts), where segments of
-them tell hardly any two texts apart.  So the fingerprint is wider: a ring of PLACES bytes, each the SimHash of a
-sample of one shingle (the first one in the order of that place, so equal with the probability of the
-similarity), in SEGMENTS segments.
-
-Texts are candidates if a segment has no difference.  From there, each run of l segments along the ring may have
-l * BUDGET / SEGMENTS differing places, then the whole ring BUDGET (the full Hamming check), and then the shingle sets
-decide exactly.  Two texts that differ in fewer than SEGMENTS places always have such a segment; texts with a
-similarity of 0.8 differ in 26 places on average, and of 200,000 such pairs, simulated, none was missed.
-
-The texts of a bucket of up to HELD come together in one task, which walks its components breadth first: a text that is
-linked is not compared again.  Larger buckets are never held by a task.  Their texts are dealt into chunks and compared
-with one of them, the hub, which links a group of near copies in one linear pass; what is not near the hub is compared
-with what is, chunk by chunk, and then gets a hub of its own, HUBS times; what is left then is compared chunk by chunk.
+fingerprints differ in up to 12 bits (measured on the sample texts), where segments of them tell hardly any two
+texts apart.  So the fingerprint is wider, 1,152 bits and more: every different shingle of a text votes on every bit,
+for or against, and a bit is set if more are for it.  Two texts with a similarity of 0.8 differ in 15 % of the bits
+on average, and texts that differ in more than a quarter (9 deviations above) are not compared.
+
+The bits are a ring of segments.  If two fingerprints differ in t of m segments' bits or fewer, some start exists from
+which every run of l consecutive segments has at most l * t / m differences (pigeonring).  Starts whose first segment
+has no difference are taken: the segment is the join key.  Inside a key, the longer runs prune the pairs by the bits
+that follow, which travel with it; and the full Hamming check and the shingle sets decide.  There are so many segments
+that texts with a similarity of 0.8 have 13 such starts on average.  Segments get wider with the number of texts.
+
+Pairs that pass the runs are joined to groups, and every text comes to its group once.  The texts of a group of up to
+HELD come together in one task, which walks its components breadth first: a text that is linked is not compared again.
+Larger groups are never held by a task.  Their texts are dealt into chunks and compared with one of them, the hub, which
+links a group of near copies in one linear pass; what is not near the hub is compared with what is, chunk by chunk, and
+then gets a hub of its own, HUBS times; what is left then is compared chunk by chunk.
 Both ways give links enough to join all that is near, and never all pairs.
 
 Words are those of the SimHash operator (ASCII white space, ASCII lower case).  Defined results: a text of fewer than
@@ -25,7 +27,9 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -38,16 +42,21 @@ from .components import connected_components, name_components
 
 WORDS = 5
 SIMILARITY = 0.8
-SEGMENTS, WIDTH = 32, 4
-PLACES = SEGMENTS * WIDTH
-#: Differing places of texts that are compared at all; at a similarity of 0.8 six deviations above the mean.
-BUDGET = 52
-#: Texts of a bucket that a task holds, and of a chunk of a larger one; hubs of a larger bucket.
+#: Bits of a segment at least, and texts that meet by chance in one (as a power of two) before it gets wider.
+WIDTH, MEET = 12, 9
+#: Starts without a difference that texts at the similarity have on average.
+STARTS = 13.3
+#: Parts of a fingerprint whose votes are independent.
+PARTS = 4
+#: The share of differing bits up to which texts are compared.
+BUDGET = 1 / 4
+#: Texts of a key among which all pairs are looked at at once.
+PAIRED = 512
+#: Texts of a group that a task holds, and of a chunk of a larger one; hubs of a larger group.
 HELD, CHUNK, HUBS = 2000, 500, 3
-#: Bytes of text whose minimum hashes are taken at once; arrays of that many shingles stay in the cache.
-STEP = 1 << 18
+#: Bytes and rows of text whose votes are counted at once.
+STEP, ROWS = 1 << 18, 64
 
-_ODD = np.random.default_rng(5).integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.random.default_rng(6).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -72,63 +81,182 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[
     return mix64(out), begin
 
 
-def _first_shingles(found: np.ndarray, begin: np.ndarray, place: int) -> np.ndarray:
-    """The first shingle of each row in the order of a place of the ring."""
-    return np.minimum.reduceat(found * _ODD[place], begin[:-1])
+@dataclass(frozen=True)
+class Ring:
+    """The bits of a fingerprint: so many segments of so many bits."""
+
+    segments: int
+    width: int
+
+    @classmethod
+    def of(cls, texts: int, similarity: float = SIMILARITY) -> Ring:
+        width = max(WIDTH, max(texts, 1).bit_length() - MEET)
+        equal = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+        return cls(max(2 * 60 // WIDTH + 1, math.ceil(STARTS / equal**width)), width)
+
+    @property
+    def bits(self) -> int:
+        return self.segments * self.width
+
+    @property
+    def slots(self) -> int:
+        """Different votes that there are for the bits of a part, a power of two: 1,024 or as many as bits."""
+        return max(1 << 10, 1 << (-(-self.bits // PARTS) - 1).bit_length())
+
+    @property
+    def run(self) -> int:
+        """Segments of half a chain: as many as fit a word."""
+        return 60 // self.width
+
+    def allowed(self, run: int) -> int:
+        """Differing bits of a run of so many segments."""
+        return int(run * self.width * BUDGET)
+
+
+def _hadamard(n: int) -> np.ndarray:
+    out = np.ones((1, 1), dtype=np.float32)
+    while len(out) < n:
+        out = np.block([[out, out], [out, -out]])
+    return out
+
+
+def simhashes(sets: list[np.ndarray], ring: Ring) -> np.ndarray:
+    """The fingerprints (rows, bytes) of sets of shingles, each without repeats.
+
+    A shingle votes on bit i of a part by the parity of its slot and the number of the bit, turned round by a sign of its
+    own.  So votes of one slot are counted first, and one Walsh-Hadamard transform of the counts gives the sums of all
+    bits.  Each part of the bits has slots and signs of its own, as shingles of one slot cannot be told apart there."""
+    slots, size = ring.slots, -(-ring.bits // PARTS)
+    width, order = slots.bit_length(), np.random.default_rng(9).permutation(slots)[:size]
+    high = 1 << (width - 1) // 2
+    left, right = _hadamard(high), _hadamard(slots // high)
+    out = np.empty((len(sets), -(-ring.bits // 8)), dtype=np.uint8)
+    for a in range(0, len(sets), ROWS):
+        held = sets[a : a + ROWS]
+        found = np.concatenate(held)
+        row = np.repeat(np.arange(len(held)) * slots, [len(x) for x in held])
+        bits = []
+        for part in range(PARTS):
+            own = (found >> np.uint64(part * width)).astype(np.int64)
+            sign = 1.0 - 2.0 * (own & 1)
+            votes = np.bincount(row + (own >> 1 & slots - 1), sign, len(held) * slots)
+            sums = left @ votes.astype(np.float32).reshape(len(held), high, -1) @ right
+            bits.append(sums.reshape(len(held), -1)[:, order] > 0)
+        out[a : a + ROWS] = np.packbits(np.concatenate(bits, axis=1)[:, : ring.bits], axis=1)
+    return out
+
+
+def _distinct_shingles(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(number of the first row, shingles of each row without repeats) of blocks of rows."""
+    buf, offsets = string_bytes(batch.column("text"))
+    for a, b in row_windows(offsets, STEP):
+        found, begin = shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+        yield a, [np.unique(found[i:j]) for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def _sign(words: int, ring: Ring):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, sets in _distinct_shingles(batch, words):
+                prints = [r.tobytes() for r in simhashes(sets, ring)]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, len(sets)), pa.array(prints, pa.binary())], names=["node", "ring"])
 
+    return run
 
-def _keys(words: int):
-    """One row per segment: its number is in the low bits of the key."""
+
+def _starts(ring: Ring):
+    """One row per segment: its number and bits are the key, the bits of the segments that follow are in two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column("node").to_numpy()
-            buf, offsets = string_bytes(batch.column("text"))
-            for a, b in row_windows(offsets, STEP):
-                found, begin = shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                keys = np.empty((b - a, SEGMENTS), dtype=np.uint64)
-                for segment in range(SEGMENTS):
-                    key = np.full(b - a, segment + 1, dtype=np.uint64)
-                    for r in range(WIDTH):
-                        key = mix64(key + _first_shingles(found, begin, segment * WIDTH + r))
-                    keys[:, segment] = key // np.uint64(SEGMENTS) * np.uint64(SEGMENTS) + np.uint64(segment)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(nodes[a:b], SEGMENTS)), pa.array(keys.ravel().view(np.int64))], names=["node", "k"]
-                )
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                prints = np.frombuffer(b"".join(part.column("ring").to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(prints, axis=1, count=ring.bits).reshape(part.num_rows, ring.segments, ring.width)
+                segments = bits @ (1 << np.arange(ring.width, dtype=np.int64))
+                words = [
+                    sum(np.roll(segments, -1 - first - j, axis=1) << (ring.width * j) for j in range(ring.run)).ravel()
+                    for first in (0, ring.run)
+                ]
+                keys = segments * ring.segments + np.arange(ring.segments)
+                nodes = np.repeat(part.column("node").to_numpy(), ring.segments)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), nodes, *words)], names=["k", "node", "c", "d"])
 
     return run
 
 
-def _with_rings(words: int):
+def chain_links(c: np.ndarray, d: np.ndarray, ring: Ring) -> list[tuple[int, int]]:
+    """Pairs of numbers of rows whose runs are within their budgets, enough to join all that are."""
+    short, long = ring.allowed(1 + ring.run), ring.allowed(1 + 2 * ring.run)
+    if len(c) <= PAIRED:
+        first = np.bitwise_count(c[:, None] ^ c)
+        x, y = np.nonzero(first <= short)
+        x, y = x[x < y], y[x < y]
+        near = first[x, y].astype(np.int64) + np.bitwise_count(d[x] ^ d[y]) <= long
+        if near.sum() <= 2 * len(c):
+            return list(zip(x[near].tolist(), y[near].tolist(), strict=True))
+    found, queue, left = [], [0], np.arange(1, len(c))
+    while len(left):
+        if not queue:
+            queue.append(int(left[0]))
+            left = left[1:]
+            continue
+        x = queue.pop()
+        first = np.bitwise_count(c[left] ^ c[x])
+        gone = (first <= short) & (first.astype(np.int64) + np.bitwise_count(d[left] ^ d[x]) <= long)
+        new = left[gone].tolist()
+        found.extend((x, y) for y in new)
+        queue.extend(new)
+        left = left[~gone]
+    return found
+
+
+def _candidates(ring: Ring):
+    """Rows come by key: links (a, b) between texts whose runs are within their budgets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[np.ndarray]] = []
+
+        def links(last: bool) -> tuple[set[tuple[int, int]], list[list[np.ndarray]]]:
+            k, node, c, d = (np.concatenate(x) for x in zip(*kept, strict=True))
+            cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+            whole = cuts if last else cuts[:-1]
+            found = set()
+            at = np.flatnonzero(np.diff(whole) > 1)
+            for a, b in zip(whole[at].tolist(), whole[at + 1].tolist(), strict=True):
+                own = node[a:b]
+                found.update((int(own[x]), int(own[y])) for x, y in chain_links(c[a:b], d[a:b], ring))
+            rest = whole[-1]
+            return found, [] if last else [[k[rest:], node[rest:], c[rest:], d[rest:]]]
+
+        def out(found: set[tuple[int, int]]) -> pa.RecordBatch:
+            rows = sorted(found)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], names=["a", "b"])
+
         for batch in batches:
-            buf, offsets = string_bytes(batch.column("text"))
-            rings = np.empty((batch.num_rows, PLACES), dtype=np.uint8)
-            for a, b in row_windows(offsets, STEP):
-                found, begin = shingles(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                for place in range(PLACES):
-                    rings[a:b, place] = mix64(_first_shingles(found, begin, place)) >> np.uint64(56)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("node", "text")), pa.array([r.tobytes() for r in rings], pa.binary())],
-                names=["node", "text", "ring"],
-            )
+            if not batch.num_rows:
+                continue
+            kept.append([batch.column(n).to_numpy() for n in ("k", "node", "c", "d")])
+            if kept[0][0][-1] != kept[-1][0][-1]:
+                found, kept = links(False)
+                yield out(found)
+        if kept:
+            yield out(links(True)[0])
 
     return run
 
 
-def within_budget(differing: np.ndarray, segment: int) -> np.ndarray:
-    """Whether the differences (rows, PLACES) of each row are within the budgets of all runs that begin at a segment."""
-    by_segment = differing.reshape(-1, SEGMENTS, WIDTH).sum(axis=2)
-    chain = np.cumsum(np.roll(by_segment, -segment, axis=1), axis=1)
-    return (chain * SEGMENTS <= np.arange(1, SEGMENTS + 1) * BUDGET).all(axis=1)
+def within_budget(differing: np.ndarray) -> np.ndarray:
+    """The full Hamming check: whether so many of the bits of each row (rows, bytes) are set at most."""
+    return np.bitwise_count(differing).sum(axis=1, dtype=np.int64) <= BUDGET * 8 * differing.shape[1]
 
 
 def near_pairs(
-    sets: list[np.ndarray], similarity: float, rings: np.ndarray | None = None, segment: int = 0
+    sets: list[np.ndarray], similarity: float, rings: np.ndarray | None = None
 ) -> Iterator[tuple[int, int]]:
     """Pairs of numbers of ``sets`` (each without repeats) that are as similar, enough to join all that are.
 
-    With ``rings``, only sets whose differences are within the budgets are compared."""
+    With ``rings``, only sets whose fingerprints are within the budget are compared."""
     sizes = np.array([len(s) for s in sets])
     names = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
     ends = np.cumsum(sizes)
@@ -145,7 +273,7 @@ def near_pairs(
         close = np.minimum(sizes[x], sizes[left]) >= similarity * np.maximum(sizes[x], sizes[left]) - 1e-9
         if rings is not None:
             at = np.flatnonzero(close)
-            close[at] = within_budget(rings[left[at]] != rings[x], segment)
+            close[at] = within_budget(rings[left[at]] ^ rings[x])
         at = np.flatnonzero(close)
         if not len(at):
             continue
@@ -168,8 +296,8 @@ def _link(words: int, similarity: float):
 
         def settle() -> None:
             if len(sets) > 1:
-                ring = np.frombuffer(b"".join(rings), dtype=np.uint8).reshape(-1, PLACES)
-                found.extend((nodes[x], nodes[y]) for x, y in near_pairs(sets, similarity, ring, key % SEGMENTS))
+                ring = np.frombuffer(b"".join(rings), dtype=np.uint8).reshape(len(sets), -1)
+                found.extend((nodes[x], nodes[y]) for x, y in near_pairs(sets, similarity, ring))
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["a", "b"])
@@ -195,12 +323,12 @@ def _link(words: int, similarity: float):
     return run
 
 
-def _near_ones(own: np.ndarray, ring: np.ndarray, sets: list[np.ndarray], rings: np.ndarray, similarity: float, segment: int) -> np.ndarray:
+def _near_ones(own: np.ndarray, ring: np.ndarray, sets: list[np.ndarray], rings: np.ndarray, similarity: float) -> np.ndarray:
     """Which of ``sets`` are as similar to ``own``."""
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
     near = np.minimum(len(own), sizes) >= similarity * np.maximum(len(own), sizes) - 1e-9
     at = np.flatnonzero(near)
-    near[at] = within_budget(rings[at] != ring, segment)
+    near[at] = within_budget(rings[at] ^ ring)
     for i in np.flatnonzero(near).tolist():
         both = len(np.intersect1d(own, sets[i], assume_unique=True))
         near[i] = both >= similarity * (len(own) + len(sets[i]) - both) - 1e-9
@@ -228,7 +356,7 @@ def _from_hub(words: int, similarity: float):
                 if not side:
                     hub = node, own, ring
                 else:
-                    near = _near_ones(hub[1], hub[2], [own], ring[None, :], similarity, k % SEGMENTS)
+                    near = _near_ones(hub[1], hub[2], [own], ring[None, :], similarity)
                     found.append((k, hub[0], node, bool(near[0])))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             columns = [pa.array([r[i] for r in found], t) for i, t in enumerate(types)]
@@ -259,10 +387,10 @@ def _tile(words: int, similarity: float):
                 if groups is None:
                     table = np.stack(rings)
                     groups = np.arange(len(nodes))
-                    for x, y in near_pairs(sets, similarity, table, here[0] % SEGMENTS):
+                    for x, y in near_pairs(sets, similarity, table):
                         groups[y] = groups[x]
                         found.append((nodes[x], nodes[y]))
-                near = np.flatnonzero(_near_ones(own, ring, sets, table, similarity, here[0] % SEGMENTS))
+                near = np.flatnonzero(_near_ones(own, ring, sets, table, similarity))
                 _, first = np.unique(groups[near], return_index=True)
                 found.extend((node, nodes[i]) for i in near[first].tolist() if nodes[i] != node)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(2)], names=["a", "b"])
@@ -327,19 +455,16 @@ def hot_links(members: DataFrame, whole: DataFrame, similarity: float, words: in
 def near_links(texts: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """Links (a, b) that join all nodes of ``texts`` (node, text) that are near, directly or by a chain; rows of one
     node have one text."""
-    keys = stored(texts.mapInArrow(trimmed(_keys(words)), "node long, k long"))
-    shared = stored(
-        keys.groupBy("k").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("n")).where("x < y").select("k", "n")
-    )
-    meet = durable(join_hot(keys, shared, ["k"], "n").select("k", "node").distinct())
+    ring = Ring.of(texts.count(), similarity)
+    prints = stored(texts.mapInArrow(trimmed(_sign(words, ring)), "node long, ring binary").dropDuplicates(["node"]))
+    starts = prints.mapInArrow(_starts(ring), "k long, node long, c long, d long").repartition("k").sortWithinPartitions("k")
+    found = stored(starts.mapInArrow(trimmed(_candidates(ring)), "a long, b long").distinct())
+    meet = stored(connected_components(found).select(F.col("root").alias("k"), "node"))
     whole = stored(
-        texts.join(meet.select("node").distinct(), "node", "left_semi")
-        .dropDuplicates(["node"])
-        .select("node", "text")
-        .mapInArrow(trimmed(_with_rings(words)), "node long, text string, ring binary")
+        texts.join(meet.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "text").join(prints, "node")
     )
     hot = stored(meet.groupBy("k").agg(F.count("*").alias("size")).where(F.col("size") > HELD))
-    small = meet.join(hot, "k", "left_anti")
+    small = meet.join(F.broadcast(hot), "k", "left_anti")
     dealt = small.join(whole, "node").repartition("k").sortWithinPartitions("k")
     links = dealt.select("k", "node", "text", "ring").mapInArrow(trimmed(_link(words, similarity)), "a long, b long")
     if not hot.isEmpty():

@@ -88,3 +88,24 @@ def test_near_stage_leaves_no_near_pair(spark):
     want = sorted(i for (i, _), c in zip(data, plain_components(data), strict=True) if i == c)
     assert len(want) < len(data)
     assert sorted(r.doc_id for r in pipeline.near_stage(spark, exact, "").collect()) == want
+
+
+def test_fingerprints_are_majorities_of_all_shingles_and_near_ones_share_a_start():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    ring = near_text.Ring.of(1000)
+    # one shingle's votes are its fingerprint, up to the bits it votes against; three decide by majority
+    three = rng.integers(0, 1 << 64, 3, dtype=np.uint64)
+    found = near_text.simhashes([three[:1], three[1:2], three[2:], three], ring)
+    one = np.unpackbits(found, axis=1)
+    assert (one[3] == (one[:3].sum(axis=0) >= 2)).all()
+    # near sets of 0.8: within the budget, and with a start whose runs are within theirs
+    for size in (9, 90, 900):
+        pool = rng.integers(0, 1 << 64, (50, size // 9 * 10), dtype=np.uint64)
+        left, right = near_text.simhashes([p[: size] for p in pool], ring), near_text.simhashes([p[size // 9 :] for p in pool], ring)
+        assert near_text.within_budget(left ^ right).all()
+        differ = np.unpackbits(left ^ right, axis=1, count=ring.bits).reshape(50, ring.segments, ring.width).sum(axis=2)
+        runs = np.cumsum([np.roll(differ, -i, axis=1) for i in range(1 + 2 * ring.run)], axis=0)
+        ways = (differ == 0) & (runs[ring.run] <= ring.allowed(1 + ring.run)) & (runs[-1] <= ring.allowed(1 + 2 * ring.run))
+        assert ways.any(axis=1).all()
