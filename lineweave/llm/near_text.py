@@ -12,11 +12,15 @@ has no difference are taken: the segment is the join key.  Inside a key, the lon
 that follow, which travel with it; and the full Hamming check and the shingle sets decide.  There are so many segments
 that texts with a similarity of 0.8 have 13 such starts on average.  Segments get wider with the number of texts.
 
-Pairs that pass the runs are joined to groups, and every text comes to its group once.  The texts of a group of up to
-HELD come together in one task, which walks its components breadth first: a text that is linked is not compared again.
-Larger groups are never held by a task.  Their texts are dealt into chunks and compared with one of them, the hub, which
-links a group of near copies in one linear pass; what is not near the hub is compared with what is, chunk by chunk, and
-then gets a hub of its own, HUBS times; what is left then is compared chunk by chunk.
+Pairs that pass the runs are joined to groups; every task joins its pairs to stars first, so that a group of near copies
+does not have links of its own for every key.  Runs let some texts pass that are not near, and a group may chain many of
+them.  So groups of more than HELD are divided first, by the full Hamming check of all fingerprints in them, chunk by
+chunk, which moves no text.  Then every text of a group comes to it once; texts of no group do not move.
+
+The texts of a group of up to HELD come together in one task, which walks its components breadth first: a text that is
+linked is not compared again.  Larger groups are never held by a task.  Their texts are dealt into chunks and compared
+with one of them, the hub, which links a group of near copies in one linear pass; what is not near the hub is compared
+with what is, chunk by chunk, and then gets a hub of its own, HUBS times; what is left then is compared chunk by chunk.
 Both ways give links enough to join all that is near, and never all pairs.
 
 Words are those of the SimHash operator (ASCII white space, ASCII lower case).  Defined results: a text of fewer than
@@ -28,7 +32,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -37,7 +41,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, expect_columns, join_hot, mix64, row_windows, string_bytes, stored, text_or_empty, token_spans, trimmed, word_hashes
+from .common import (
+    durable, expect_columns, join_hot, marked_rows, mix64, row_windows, string_bytes, stored, text_or_empty, token_spans, trimmed, word_hashes,
+)
 from .components import connected_components, name_components
 
 WORDS = 5
@@ -54,6 +60,10 @@ BUDGET = 1 / 4
 PAIRED = 512
 #: Texts of a group that a task holds, and of a chunk of a larger one; hubs of a larger group.
 HELD, CHUNK, HUBS = 2000, 500, 3
+#: Fingerprints of a larger group that a task holds, and chunks of so many that pass them.
+PRINTS, PASSING = 2048, 16
+#: Links that a task holds to join them to stars.
+LINKS = 1 << 17
 #: Bytes and rows of text whose votes are counted at once.
 STEP, ROWS = 1 << 18, 64
 
@@ -211,37 +221,82 @@ def chain_links(c: np.ndarray, d: np.ndarray, ring: Ring) -> list[tuple[int, int
     return found
 
 
+def stars(links: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links that join the same numbers: each of a component with its smallest."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        above = parent.setdefault(x, x)
+        while above != x:
+            parent[x] = parent[above]
+            x, above = above, parent[above]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [(r, x) for x in sorted(parent) if (r := root(x)) != x]
+
+
+def _pairs_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
+
+
+def _bounded(found: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Joins what is held to stars where it is too much, and gives them away where they still are many."""
+    if len(found) > LINKS:
+        joined = stars(found)
+        found.clear()
+        if len(joined) > LINKS // 2:
+            yield _pairs_batch(joined)
+        else:
+            found.update(joined)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join the same texts, as stars of what a task reads."""
+    found: set[tuple[int, int]] = set()
+    for batch in batches:
+        found.update(zip(*(batch.column(c).to_pylist() for c in ("a", "b")), strict=True))
+        yield from _bounded(found)
+    yield _pairs_batch(stars(found))
+
+
+def _groups(links: DataFrame) -> DataFrame:
+    """(k, node) of the components of ``links`` (a, b); the tasks that read them are fewer than those that found them."""
+    joined = stored(links).mapInArrow(trimmed(_joined), "a long, b long")
+    return connected_components(joined).select(F.col("root").alias("k"), "node")
+
+
 def _candidates(ring: Ring):
-    """Rows come by key: links (a, b) between texts whose runs are within their budgets."""
+    """Rows come by key: links (a, b) that join all texts whose runs are within their budgets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
+        found: set[tuple[int, int]] = set()
 
-        def links(last: bool) -> tuple[set[tuple[int, int]], list[list[np.ndarray]]]:
+        def links(last: bool) -> list[list[np.ndarray]]:
             k, node, c, d = (np.concatenate(x) for x in zip(*kept, strict=True))
             cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
             whole = cuts if last else cuts[:-1]
-            found = set()
             at = np.flatnonzero(np.diff(whole) > 1)
             for a, b in zip(whole[at].tolist(), whole[at + 1].tolist(), strict=True):
                 own = node[a:b]
                 found.update((int(own[x]), int(own[y])) for x, y in chain_links(c[a:b], d[a:b], ring))
             rest = whole[-1]
-            return found, [] if last else [[k[rest:], node[rest:], c[rest:], d[rest:]]]
-
-        def out(found: set[tuple[int, int]]) -> pa.RecordBatch:
-            rows = sorted(found)
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], names=["a", "b"])
+            return [] if last else [[k[rest:], node[rest:], c[rest:], d[rest:]]]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             kept.append([batch.column(n).to_numpy() for n in ("k", "node", "c", "d")])
             if kept[0][0][-1] != kept[-1][0][-1]:
-                found, kept = links(False)
-                yield out(found)
+                kept = links(False)
+                yield from _bounded(found)
         if kept:
-            yield out(links(True)[0])
+            links(True)
+        yield _pairs_batch(stars(found))
 
     return run
 
@@ -300,7 +355,7 @@ def _link(words: int, similarity: float):
                 found.extend((nodes[x], nodes[y]) for x, y in near_pairs(sets, similarity, ring))
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["a", "b"])
+            batch = _pairs_batch(found)
             found.clear()
             return batch
 
@@ -393,11 +448,67 @@ def _tile(words: int, similarity: float):
                 near = np.flatnonzero(_near_ones(own, ring, sets, table, similarity))
                 _, first = np.unique(groups[near], return_index=True)
                 found.extend((node, nodes[i]) for i in near[first].tolist() if nodes[i] != node)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(2)], names=["a", "b"])
+            yield _pairs_batch(stars(found))
 
     return run
 
 
+def _words(rings: list[bytes]) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words, with zeros at the end."""
+    size = -(-len(rings[0]) // 8) * 8
+    return np.frombuffer(b"".join(r.ljust(size, b"\0") for r in rings), dtype=np.uint64).reshape(len(rings), -1)
+
+
+def _print_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by group and chunks, those of the held chunk first: links that join all texts, of the held chunk or one of
+    it and one of the others, whose fingerprints are within the budget."""
+    key, nodes, rings = None, [], []
+    groups = table = None
+    for batch in batches:
+        found = []
+        rows = zip(*(batch.column(c).to_pylist() for c in ("k", "right", "left", "side", "node", "ring")), strict=True)
+        for k, right, left, side, node, ring in rows:
+            if (k, right, left) != key:
+                key, nodes, rings, groups = (k, right, left), [], [], None
+            if not side:
+                nodes.append(node)
+                rings.append(ring)
+                continue
+            if not nodes:
+                continue
+            most = BUDGET * 8 * len(ring)
+            if groups is None:
+                table, groups = _words(rings), np.full(len(nodes), -1)
+                for i in range(len(nodes)):
+                    queue = [i] if groups[i] < 0 else []
+                    groups[queue] = i
+                    while queue:
+                        x, rest = queue.pop(), np.flatnonzero(groups < 0)
+                        new = rest[np.bitwise_count(table[rest] ^ table[x]).sum(axis=1, dtype=np.int64) <= most]
+                        groups[new] = i
+                        queue.extend(new.tolist())
+                        found.extend((nodes[i], nodes[y]) for y in new.tolist())
+            near = np.bitwise_count(table ^ _words([ring])).sum(axis=1, dtype=np.int64) <= most
+            found.extend((node, nodes[i]) for i in np.unique(groups[near]).tolist() if nodes[i] != node)
+        yield _pairs_batch(stars(found))
+
+
+def divided(members: DataFrame, prints: DataFrame) -> DataFrame:
+    """(k, node): the groups ``members`` (k, node) divided into those that fingerprints within the budget join, directly or
+    by a chain; texts alone are left out.  ``prints`` is (node, ring)."""
+    sizes = stored(
+        members.groupBy("k").agg(F.count("*").alias("n")).select(
+            "*", F.ceil(F.col("n") / (PASSING * PRINTS)).alias("lefts"), F.ceil(F.col("n") / PRINTS).alias("rights")
+        )
+    )
+    whole = stored(join_hot(members, sizes, ["k"], "n").join(prints, "node"))
+    held = whole.select("k", "node", "ring", _chunk_of(F.col("rights")).alias("right"), _upto(F.col("lefts")).alias("left"), F.lit(0).alias("side"))
+    passing = whole.select("k", "node", "ring", _upto(F.col("rights")).alias("right"), _chunk_of(F.col("lefts")).alias("left"), F.lit(1).alias("side"))
+    place = ["k", "right", "left"]
+    dealt = held.unionByName(passing).repartition(*place).sortWithinPartitions(*place, "side", "node")
+    return _groups(dealt.select(*place, "side", "node", "ring").mapInArrow(trimmed(_print_tile), "a long, b long"))
+
+
 def _chunk_of(chunks: Column) -> Column:
     return F.pmod(F.xxhash64("node"), chunks)
 
@@ -429,7 +540,7 @@ def _tiles(left: DataFrame, right: DataFrame, whole: DataFrame, words: int, simi
 
 def hot_links(members: DataFrame, whole: DataFrame, similarity: float, words: int) -> DataFrame:
     """Links that join all texts of ``members`` (k, node) that are near; ``whole`` has their texts and rings."""
-    links = []
+    whole, links = stored(_of(whole, members)), []
     for _ in range(HUBS):
         hubs = stored(members.groupBy("k").agg(F.min("node").alias("hub"), F.count("*").alias("n")))
         chunks = F.ceil(F.col("n") / CHUNK)
@@ -452,20 +563,33 @@ def hot_links(members: DataFrame, whole: DataFrame, similarity: float, words: in
     return reduce(DataFrame.unionByName, links)
 
 
+def _of(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows whose node is one of ``members``; hardly any others move."""
+    nodes = members.select("node")
+    return marked_rows(rows, nodes, "node")[0].join(nodes, "node", "left_semi")
+
+
+def _large(groups: DataFrame) -> DataFrame:
+    """(k, size) of the groups (k, node) that are too large for a task."""
+    return stored(groups.groupBy("k").agg(F.count("*").alias("size")).where(F.col("size") > HELD))
+
+
 def near_links(texts: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """Links (a, b) that join all nodes of ``texts`` (node, text) that are near, directly or by a chain; rows of one
     node have one text."""
     ring = Ring.of(texts.count(), similarity)
     prints = stored(texts.mapInArrow(trimmed(_sign(words, ring)), "node long, ring binary").dropDuplicates(["node"]))
-    starts = prints.mapInArrow(_starts(ring), "k long, node long, c long, d long").repartition("k").sortWithinPartitions("k")
-    found = stored(starts.mapInArrow(trimmed(_candidates(ring)), "a long, b long").distinct())
-    meet = stored(connected_components(found).select(F.col("root").alias("k"), "node"))
-    whole = stored(
-        texts.join(meet.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "text").join(prints, "node")
-    )
-    hot = stored(meet.groupBy("k").agg(F.count("*").alias("size")).where(F.col("size") > HELD))
+    # in the order of nodes, so that the links of many keys are the same
+    starts = prints.mapInArrow(_starts(ring), "k long, node long, c long, d long").repartition("k").sortWithinPartitions("k", "node")
+    meet = stored(_groups(starts.mapInArrow(trimmed(_candidates(ring)), "a long, b long")))
+    hot = _large(meet)
+    if not hot.isEmpty():
+        parts = divided(stored(join_hot(meet, hot, ["k"], "size").select("k", "node")), _of(prints, meet))
+        meet = stored(meet.join(F.broadcast(hot), "k", "left_anti").unionByName(parts))
+        hot = _large(meet)
+    whole = stored(_of(texts, meet).dropDuplicates(["node"]).select("node", "text").join(_of(prints, meet), "node"))
     small = meet.join(F.broadcast(hot), "k", "left_anti")
-    dealt = small.join(whole, "node").repartition("k").sortWithinPartitions("k")
+    dealt = small.join(whole, "node").repartition("k").sortWithinPartitions("k", "node")
     links = dealt.select("k", "node", "text", "ring").mapInArrow(trimmed(_link(words, similarity)), "a long, b long")
     if not hot.isEmpty():
         members = stored(join_hot(meet, hot, ["k"], "size").select("k", "node"))

@@ -109,3 +109,62 @@ def test_fingerprints_are_majorities_of_all_shingles_and_near_ones_share_a_start
         runs = np.cumsum([np.roll(differ, -i, axis=1) for i in range(1 + 2 * ring.run)], axis=0)
         ways = (differ == 0) & (runs[ring.run] <= ring.allowed(1 + ring.run)) & (runs[-1] <= ring.allowed(1 + 2 * ring.run))
         assert ways.any(axis=1).all()
+
+
+def own_words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+
+
+def test_candidate_links_follow_the_texts_of_a_group_not_its_keys(spark, monkeypatch):
+    rng, seen, join = random.Random(11), [], near_text.connected_components
+    words = own_words(rng, 120)
+    data = [(i, varied(rng, words, 4)) for i in range(150)]
+
+    def counted(links):
+        seen.append(links.count())
+        return join(links)
+
+    monkeypatch.setattr(near_text, "connected_components", counted)
+    found = near_groups(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == list(enumerate(plain_components(data)))
+    assert max(seen) < 3 * len(data)  # a tree for every segment before
+
+
+def test_groups_of_texts_that_are_not_near_are_divided_by_their_fingerprints(spark, monkeypatch):
+    rng, large = random.Random(12), []
+    common = own_words(rng, 120)  # 0.43 similar, which runs of segments let pass
+    data = [(i, " ".join(common + own_words(rng, 80))) for i in range(40)]
+    data.append((40, data[7][1] + " more"))
+    links = near_text.hot_links
+    monkeypatch.setattr(near_text, "HELD", 3)
+    monkeypatch.setattr(near_text, "PRINTS", 8)
+    monkeypatch.setattr(near_text, "PASSING", 2)
+    monkeypatch.setattr(near_text, "hot_links", lambda members, *more: (large.append(members.count()), links(members, *more))[1])
+    found = near_groups(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()
+    want = plain_components(data)
+    assert want[40] == 7
+    assert sorted((r.doc_id, r.component_id) for r in found) == list(enumerate(want))
+    assert large == []
+
+
+def shuffled(spark):
+    """Bytes that the stages of the session have written for shuffles."""
+    gateway = spark.sparkContext._gateway
+    nothing = gateway.jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(nothing, False, False, gateway.new_array(gateway.jvm.double, 0), nothing)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_of_no_group_do_not_move(spark):
+    rng, edge = random.Random(13), "spark.sql.autoBroadcastJoinThreshold"
+    data = [(i, " ".join(own_words(rng, 2000))) for i in range(300)]
+    data.append((300, data[5][1] + " more"))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4).localCheckpoint()
+    was, before = spark.conf.get(edge), shuffled(spark)
+    spark.conf.set(edge, -1)
+    try:
+        found = near_groups(docs).collect()
+    finally:
+        spark.conf.set(edge, was)
+    assert sorted((r.doc_id, r.component_id) for r in found if r.doc_id in (5, 300)) == [(5, 5), (300, 5)]
+    assert shuffled(spark) - before < sum(len(t) for _, t in data) / 2
