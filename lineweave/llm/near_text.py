@@ -14,8 +14,8 @@ that texts with a similarity of 0.8 have 13 such starts on average.  Segments ge
 
 Pairs that pass the runs are joined to groups; every task joins its pairs to stars first, so that a group of near copies
 does not have links of its own for every key.  Runs let some texts pass that are not near, and a group may chain many of
-them.  So groups of more than HELD are divided first, by the full Hamming check of all fingerprints in them, chunk by
-chunk, which moves no text.  Then every text of a group comes to it once; texts of no group do not move.
+them.  So groups of more than HELD are divided first, by the full Hamming check of their fingerprints, with a hub's and,
+for what is not like the hub, chunk by chunk, which moves no text.  Then every text of a group comes to it once; texts of no group do not move.
 
 The texts of a group of up to HELD come together in one task, which walks its components breadth first: a text that is
 linked is not compared again.  Larger groups are never held by a task.  Their texts are dealt into chunks and compared
@@ -493,20 +493,46 @@ def _print_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs_batch(stars(found))
 
 
+def _like_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds whether the fingerprint of each row is within the budget of its hub's."""
+    for batch in batches:
+        own, hub = (
+            np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("ring", "hub_ring")
+        )
+        near = within_budget(own ^ hub) if batch.num_rows else np.zeros(0, dtype=bool)
+        columns = [batch.column(c) for c in ("k", "hub", "node", "ring")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(near)], names=["k", "hub", "node", "ring", "near"])
+
+
 def divided(members: DataFrame, prints: DataFrame) -> DataFrame:
     """(k, node): the groups ``members`` (k, node) divided into those that fingerprints within the budget join, directly or
-    by a chain; texts alone are left out.  ``prints`` is (node, ring)."""
+    by a chain; texts alone are left out.  ``prints`` is (node, ring).
+
+    One linear pass links what is like a hub; only the others are compared, with all, chunk by chunk."""
+    hubs = stored(members.groupBy("k").agg(F.min("node").alias("hub"), F.count("*").alias("n")))
+    whole = stored(join_hot(members, hubs, ["k"], "n").select("k", "hub", "node").join(prints, "node"))
+    # a large group has HELD texts at least, so hubs are few
+    of_hubs = F.broadcast(whole.where("node = hub").select("k", F.col("ring").alias("hub_ring")))
+    seen = stored(
+        whole.join(of_hubs, "k").select("k", "hub", "node", "ring", "hub_ring").mapInArrow(
+            trimmed(_like_hub), "k long, hub long, node long, ring binary, near boolean"
+        )
+    )
     sizes = stored(
-        members.groupBy("k").agg(F.count("*").alias("n")).select(
-            "*", F.ceil(F.col("n") / (PASSING * PRINTS)).alias("lefts"), F.ceil(F.col("n") / PRINTS).alias("rights")
+        seen.groupBy("k").agg(F.count("*").alias("n_left"), F.count_if(~F.col("near")).alias("n_right")).where("n_right > 0").select(
+            "*", F.ceil(F.col("n_left") / (PASSING * PRINTS)).alias("lefts"), F.ceil(F.col("n_right") / PRINTS).alias("rights")
         )
     )
-    whole = stored(join_hot(members, sizes, ["k"], "n").join(prints, "node"))
-    held = whole.select("k", "node", "ring", _chunk_of(F.col("rights")).alias("right"), _upto(F.col("lefts")).alias("left"), F.lit(0).alias("side"))
-    passing = whole.select("k", "node", "ring", _upto(F.col("rights")).alias("right"), _chunk_of(F.col("lefts")).alias("left"), F.lit(1).alias("side"))
+    held = join_hot(seen.where("NOT near"), sizes, ["k"], "n_right").select(
+        "k", "node", "ring", _chunk_of(F.col("rights")).alias("right"), _upto(F.col("lefts")).alias("left"), F.lit(0).alias("side")
+    )
+    passing = join_hot(seen, sizes, ["k"], "n_left").select(
+        "k", "node", "ring", _upto(F.col("rights")).alias("right"), _chunk_of(F.col("lefts")).alias("left"), F.lit(1).alias("side")
+    )
     place = ["k", "right", "left"]
     dealt = held.unionByName(passing).repartition(*place).sortWithinPartitions(*place, "side", "node")
-    return _groups(dealt.select(*place, "side", "node", "ring").mapInArrow(trimmed(_print_tile), "a long, b long"))
+    links = dealt.select(*place, "side", "node", "ring").mapInArrow(trimmed(_print_tile), "a long, b long")
+    return _groups(links.unionByName(seen.where("near AND node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
 
 
 def _chunk_of(chunks: Column) -> Column:

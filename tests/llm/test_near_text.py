@@ -168,3 +168,20 @@ def test_texts_of_no_group_do_not_move(spark):
         spark.conf.set(edge, was)
     assert sorted((r.doc_id, r.component_id) for r in found if r.doc_id in (5, 300)) == [(5, 5), (300, 5)]
     assert shuffled(spark) - before < sum(len(t) for _, t in data) / 2
+
+
+def test_near_copies_of_a_hub_are_not_compared_chunk_by_chunk(spark, monkeypatch):
+    rng = random.Random(14)
+    words = own_words(rng, 120)
+    data = [(i, varied(rng, words, 2)) for i in range(60)]
+
+    def none(batches):
+        for batch in batches:
+            assert not batch.num_rows
+            yield batch.select(["k", "node"]).rename_columns(["a", "b"])
+
+    monkeypatch.setattr(near_text, "HELD", 3)
+    monkeypatch.setattr(near_text, "PRINTS", 8)
+    monkeypatch.setattr(near_text, "_print_tile", none)
+    found = near_groups(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == list(enumerate(plain_components(data)))
